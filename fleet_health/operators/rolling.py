@@ -264,9 +264,11 @@ def rolling_apply(df: DataFrame, c: str, k: int, fn, name: str,
     """
     import pandas as pd
 
-    @F.pandas_udf(return_type)
-    def _agg(v: pd.Series) -> float:
+    def _agg(v):
         return fn(v)
+    # real (not postponed) annotations mark this as a Series -> scalar UDF
+    _agg.__annotations__ = {"v": pd.Series, "return": float}
+    _agg = F.pandas_udf(_agg, return_type)
 
     def build(p):
         return p.select(*p.columns, _agg(F.col(c)).over(series.rows(-(k - 1), 0)).alias(name))

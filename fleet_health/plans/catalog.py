@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["core"]
+PLAN_MODULES = ["core", "features"]
 
 
 def registry():
