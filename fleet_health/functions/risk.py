@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import CPU, DISK, MEM
+from .scalar import round_half_up
 
 # --- fixed values ------------------------------------------------------
 # component risk: (high above, medium above) per metric
@@ -79,6 +80,11 @@ def time_to_failure() -> Column:
     return (F.lit(float(TTF_BASE_MINUTES)) * F.least(*factors)).cast("int")
 
 
+def risk_score_rounded() -> Column:
+    """Risk score rounded to 3 places (as reported)."""
+    return round_half_up(risk_score(), 3)
+
+
 def risk_score() -> Column:
     s = None
     for m, w in RISK_WEIGHTS.items():
@@ -197,4 +203,4 @@ def alert_outlook(metric: str, add: float) -> Column:
     """min(100, value + add) rounded to 1 place; NULL for a missing or 0 value."""
     c = F.col(metric)
     return F.when(c.isNull() | (c == 0), F.lit(None).cast("double")).otherwise(
-        F.round(F.least(F.lit(100.0), c + F.lit(float(add))), 1))
+        round_half_up(F.least(F.lit(100.0), c + F.lit(float(add))), 1))

@@ -19,6 +19,13 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_half_up(c, places: int) -> Column:
+    """Round half up as floor(x * 10^n + 0.5) / 10^n: plain IEEE arithmetic,
+    so every engine returns the same double (used for reported figures)."""
+    f = float(10 ** places)
+    return F.floor(col(c) * F.lit(f) + F.lit(0.5)) / F.lit(f)
+
+
 # ----------------------------------------------------------------- P1-P5
 def bytes_to_gb(c) -> Column:
     """bytes / 1024^3 rounded to 2 places."""

@@ -120,7 +120,8 @@ def zscore_columns(df: DataFrame, cols: Sequence[str], robust: bool = False) ->
 
 
 # ------------------------------------------------------------------ W14
-def fill_gaps(df: DataFrame, cols: Sequence[str], order: str = "ffill,bfill,zero") -> DataFrame:
+def fill_gaps(df: DataFrame, cols: Sequence[str], order: str = "ffill,bfill,zero",
+              keys=(HOST,)) -> DataFrame:
     """Fill NULLs of ``cols`` along each host series.
 
     ``order`` is a comma list of ``ffill`` / ``bfill`` / ``zero`` applied in
@@ -131,27 +132,28 @@ def fill_gaps(df: DataFrame, cols: Sequence[str], order: str = "ffill,bfill,zero
     """
     steps = [s.strip() for s in order.split(",") if s.strip()]
     cols = list(cols)
+    keys = list(keys)
     had_position = RN in df.columns and CHUNK in df.columns
     if not had_position:
-        df = series.with_chunks(series.with_position(df)).filter(~F.col(HALO)).drop(HALO)
+        df = series.with_chunks(series.with_position(df, keys=keys)).filter(~F.col(HALO)).drop(HALO)
     if not cols:
         return df if had_position else df.drop(RN, CHUNK)
-    summ = df.groupBy(HOST, CHUNK).agg(
+    summ = df.groupBy(*keys, CHUNK).agg(
         *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(RN), F.col(c).alias("v"))))
           .getField("v").alias(f"_last_{i}") for i, c in enumerate(cols)],
         *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(RN), F.col(c).alias("v"))))
           .getField("v").alias(f"_first_{i}") for i, c in enumerate(cols)])
-    wc = Window.partitionBy(HOST).orderBy(CHUNK)
+    wc = Window.partitionBy(*keys).orderBy(CHUNK)
     carry = summ.select(
-        HOST, CHUNK,
+        *keys, CHUNK,
         *[F.last(f"_last_{i}", ignorenulls=True).over(
             wc.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cin_{i}")
           for i in range(len(cols))],
         *[F.first(f"_first_{i}", ignorenulls=True).over(
             wc.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cout_{i}")
           for i in range(len(cols))])
-    j = df.join(carry, [HOST, CHUNK])
-    w = series.series_window()
+    j = df.join(carry, keys + [CHUNK])
+    w = series.series_window(keys)
     out = []
     for i, c in enumerate(cols):
         prev = F.coalesce(F.last(c, ignorenulls=True).over(

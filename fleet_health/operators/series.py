@@ -59,20 +59,26 @@ def host_window(partition=(HOST,), order=SERIES_ORDER):
     return Window.partitionBy(*partition).orderBy(*order)
 
 
-def with_position(df: DataFrame, bucket: str | None = None) -> DataFrame:
-    """Add ``_rn``: exact 1-based position of each row inside its host."""
+def with_position(df: DataFrame, bucket: str | None = None, keys=(HOST,),
+                  order=SERIES_ORDER) -> DataFrame:
+    """Add ``_rn``: exact 1-based position of each row inside its key
+    (default: host) in ``order``; ``order[0]`` must be the event time used
+    for bucketing (any later columns only break ties)."""
     if RN in df.columns:
         return df
+    keys = list(keys)
+    order = list(order)
     bucket = bucket or _conf(df, "fleet_health.series.bucket", DEFAULT_BUCKET)
-    b = df.withColumn(_BUCKET, F.date_trunc(bucket, F.col(TS)))
-    counts = b.groupBy(HOST, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    b = df.withColumn(_BUCKET, F.date_trunc(bucket, F.col(order[0]) if isinstance(order[0], str)
+                                            else order[0]))
+    counts = b.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
-        HOST, _BUCKET,
+        *keys, _BUCKET,
         F.coalesce(F.sum("_n").over(
-            Window.partitionBy(HOST).orderBy(_BUCKET)
+            Window.partitionBy(*keys).orderBy(_BUCKET)
             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(_OFFSET))
-    pos = b.join(offsets, [HOST, _BUCKET])
-    w = Window.partitionBy(HOST, _BUCKET).orderBy(*SERIES_ORDER)
+    pos = b.join(offsets, keys + [_BUCKET])
+    w = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     return (pos.withColumn(RN, F.col(_OFFSET) + F.row_number().over(w))
                .drop(_BUCKET, _OFFSET))
 
@@ -103,31 +109,34 @@ def with_chunks(df: DataFrame, lookback: int = 0, lookahead: int = 0,
               .drop("_cp"))
 
 
-def series_window():
-    """Window over one chunk of one host in series order."""
-    return Window.partitionBy(HOST, CHUNK).orderBy(RN)
+def series_window(keys=(HOST,)):
+    """Window over one chunk of one key (host) in series order."""
+    return Window.partitionBy(*keys, CHUNK).orderBy(RN)
 
 
-def rows(lo: int, hi: int = 0):
+def rows(lo: int, hi: int = 0, keys=(HOST,)):
     """Bounded rows frame ``lo..hi`` relative to the current row."""
-    return series_window().rowsBetween(lo, hi)
+    return series_window(keys).rowsBetween(lo, hi)
 
 
 def prepare(df: DataFrame, lookback: int = 0, lookahead: int = 0,
-            chunk_rows: int | None = None) -> DataFrame:
-    return with_chunks(with_position(df), lookback, lookahead, chunk_rows)
+            chunk_rows: int | None = None, keys=(HOST,), order=SERIES_ORDER) -> DataFrame:
+    return with_chunks(with_position(df, keys=keys, order=order), lookback, lookahead, chunk_rows)
 
 
 def drop_halo(df: DataFrame, keep_position: bool = False) -> DataFrame:
-    out = df.filter(~F.col(HALO)).drop(HALO, CHUNK)
-    return out if keep_position else out.drop(RN)
+    """Remove halo copies; ``keep_position`` keeps ``_rn`` and ``_chunk`` for
+    a following per-chunk step (fills, running counts)."""
+    out = df.filter(~F.col(HALO)).drop(HALO)
+    return out if keep_position else out.drop(RN, CHUNK)
 
 
 def apply(df: DataFrame, build, lookback: int = 0, lookahead: int = 0,
-          chunk_rows: int | None = None, keep_position: bool = False) -> DataFrame:
+          chunk_rows: int | None = None, keep_position: bool = False,
+          keys=(HOST,), order=SERIES_ORDER) -> DataFrame:
     """Run ``build(prepared_df) -> DataFrame`` over the chunked series and
     remove the halo afterwards.  ``build`` uses ``series_window`` / ``rows``."""
-    prepared = prepare(df, lookback, lookahead, chunk_rows)
+    prepared = prepare(df, lookback, lookahead, chunk_rows, keys, order)
     return drop_halo(build(prepared), keep_position)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["core", "features"]
+PLAN_MODULES = ["core", "features", "reports", "alerting"]
 
 
 def registry():

@@ -39,7 +39,7 @@ def host_risk_snapshot(metrics: DataFrame, k: int = 5) -> DataFrame:
     return feats.select(
         "*", cr.alias("cpu_risk"), mr.alias("memory_risk"), dr.alias("disk_risk"),
         K.overall_risk(cr, mr, dr).alias("overall_risk"),
-        F.round(K.risk_score(), 3).alias("risk_score"),
+        K.risk_score_rounded().alias("risk_score"),
         K.time_to_failure().alias("time_to_failure"))
 
 
@@ -49,9 +49,9 @@ SELECT host_id, sample_id, "timestamp", cpu_percent, memory_percent, disk_usage_
        cpu_risk, memory_risk, disk_risk,
        CASE WHEN 'high' IN (cpu_risk, memory_risk, disk_risk) THEN 'high'
             WHEN 'medium' IN (cpu_risk, memory_risk, disk_risk) THEN 'medium' ELSE 'low' END AS overall_risk,
-       round(least(cpu_percent / 100.0::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE
+       floor((least(cpu_percent / 100.0::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE
            + least(memory_percent / 100.0::DOUBLE, 1.0::DOUBLE) * 0.35::DOUBLE
-           + least(disk_usage_percent / 100.0::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE, 3) AS risk_score,
+           + least(disk_usage_percent / 100.0::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE) * 1000.0 + 0.5) / 1000.0 AS risk_score,
        CAST(480.0::DOUBLE * least(
             CASE WHEN cpu_percent > 85 THEN 0.3::DOUBLE WHEN cpu_percent > 70 THEN 0.6::DOUBLE END,
             CASE WHEN memory_percent > 90 THEN 0.4::DOUBLE WHEN memory_percent > 75 THEN 0.7::DOUBLE END,
