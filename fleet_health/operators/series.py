@@ -60,17 +60,19 @@ def host_window(partition=(HOST,), order=SERIES_ORDER):
 
 
 def with_position(df: DataFrame, bucket: str | None = None, keys=(HOST,),
-                  order=SERIES_ORDER) -> DataFrame:
+                  order=SERIES_ORDER, bucket_expr: Column | None = None) -> DataFrame:
     """Add ``_rn``: exact 1-based position of each row inside its key
-    (default: host) in ``order``; ``order[0]`` must be the event time used
-    for bucketing (any later columns only break ties)."""
+    (default: host) in ``order``.  Rows are counted per (key, bucket) where
+    the bucket is ``date_trunc(bucket, order[0])`` or ``bucket_expr``; the
+    bucket must be monotone in ``order`` (later columns only break ties)."""
     if RN in df.columns:
         return df
     keys = list(keys)
     order = list(order)
-    bucket = bucket or _conf(df, "fleet_health.series.bucket", DEFAULT_BUCKET)
-    b = df.withColumn(_BUCKET, F.date_trunc(bucket, F.col(order[0]) if isinstance(order[0], str)
-                                            else order[0]))
+    if bucket_expr is None:
+        bucket = bucket or _conf(df, "fleet_health.series.bucket", DEFAULT_BUCKET)
+        bucket_expr = F.date_trunc(bucket, F.col(order[0]) if isinstance(order[0], str) else order[0])
+    b = df.withColumn(_BUCKET, bucket_expr)
     counts = b.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         *keys, _BUCKET,
