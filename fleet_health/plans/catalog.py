@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["core", "features", "reports", "alerting", "training", "neighbors"]
+PLAN_MODULES = ["core", "features", "reports", "alerting", "training", "neighbors", "models", "streams"]
 
 
 def registry():

@@ -17,6 +17,9 @@ from pyspark.sql import SparkSession
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # wide feature projections (30-131 columns with aliases) make filter
+    # inference by constraint propagation combinatorial at planning time
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 # Settings that matter for performance at scale; defaults only.
@@ -81,6 +84,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the
+    written copy: cuts the lineage (plans stay small, lost executors do not
+    recompute the whole history) - used before iterative model fitting."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint folder (streaming state, tables)."""
     base = ensure_checkpoint_dir(spark)
