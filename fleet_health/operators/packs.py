@@ -26,9 +26,28 @@ def _ids(df: DataFrame) -> list[str]:
     return ID_COLUMNS + ([LABEL] if LABEL in df.columns else [])
 
 
-def _finish(df: DataFrame, features: list[str], fill: str | None, ids: list[str]) -> DataFrame:
+# Feature columns that can be NULL even when every input metric is present:
+# a sample std over a one-row frame, z-scores of constant hosts, ratios.
+_NULLABLE_MARKERS = ("_rolling_std_", "_zscore", "_ratio")
+
+
+def _needs_fill(source: DataFrame, base: Sequence[str], features: list[str]) -> list[str]:
+    """Columns the fill step must touch.  One aggregate over the input
+    metrics decides: with no NULL inputs only the structurally nullable
+    columns can hold NULLs, so only those pay for the fill windows."""
+    base = [c for c in base if c in source.columns]
+    if base:
+        row = source.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in base]).first()
+        if any(row[c] for c in base):
+            return features
+    return [c for c in features if any(mk in c for mk in _NULLABLE_MARKERS)]
+
+
+def _finish(df: DataFrame, features: list[str], fill: str | None, ids: list[str],
+            source: DataFrame | None = None, base: Sequence[str] = ()) -> DataFrame:
     if fill:
-        df = R.fill_gaps(df, features, fill)
+        cols = features if source is None else _needs_fill(source, base, features)
+        df = R.fill_gaps(df, cols, fill)
     return df.select(*ids, *features)
 
 
@@ -50,7 +69,7 @@ def features_basic(df: DataFrame, base: Sequence[str] = BASE_FEATURES) -> DataFr
 
     out = series.apply(df, build, lookback=4, keep_position=True)
     feats = [c for c in out.columns if c not in ids + [series.RN, series.CHUNK]]
-    return _finish(out, feats, "bfill,ffill", ids)
+    return _finish(out, feats, "bfill,ffill", ids, df, base)
 
 
 ENHANCED_WINDOWS = (5, 10, 20)
@@ -88,7 +107,7 @@ def features_enhanced(df: DataFrame, base: Sequence[str] = BASE_FEATURES,
 
     out = series.apply(df, build, lookback=lookback, keep_position=True)
     feats = [c for c in out.columns if c not in ids + [series.RN, series.CHUNK]]
-    return _finish(out, feats, "ffill,bfill,zero", ids)
+    return _finish(out, feats, "ffill,bfill,zero", ids, df, base)
 
 
 def features_robust(df: DataFrame, base: Sequence[str] = BASE_FEATURES) -> DataFrame:
@@ -111,7 +130,7 @@ def features_robust(df: DataFrame, base: Sequence[str] = BASE_FEATURES) -> DataF
 
     out = series.apply(df, build, lookback=4, keep_position=True)
     feats = [c for c in out.columns if c not in ids + [series.RN, series.CHUNK]]
-    return _finish(out, feats, "ffill,bfill,zero", ids)
+    return _finish(out, feats, "ffill,bfill,zero", ids, df, METRIC_COLUMNS)
 
 
 def features_temporal(df: DataFrame, base: Sequence[str] | None = None) -> DataFrame:
@@ -138,7 +157,7 @@ def features_temporal(df: DataFrame, base: Sequence[str] | None = None) -> DataF
 
     out = series.apply(df, build, lookback=4, keep_position=True)
     feats = [c for c in out.columns if c not in ids + [series.RN, series.CHUNK]]
-    return _finish(out, feats, "ffill,bfill,zero", ids)
+    return _finish(out, feats, "ffill,bfill,zero", ids, df, METRIC_COLUMNS)
 
 
 FORECAST_LAGS = (1, 2, 3, 6, 12)
@@ -218,4 +237,4 @@ def features_debug(df: DataFrame) -> DataFrame:
 
     out = series.apply(df, build, lookback=4, keep_position=True)
     feats = [c for c in out.columns if c not in ids + [series.RN, series.CHUNK]]
-    return _finish(out, feats, "ffill,bfill,zero", ids)
+    return _finish(out, feats, "ffill,bfill,zero", ids, df, METRIC_COLUMNS)

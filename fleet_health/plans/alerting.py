@@ -228,7 +228,7 @@ def q_asof_snapshot(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ T4-T9
-@query("temporal_pattern", sql=m(f"""
+TP_SELECT = f"""
 SELECT host_id, sample_id, "timestamp",
   CASE WHEN rn < 10 THEN 'Unknown pattern'
        WHEN first_list <> '' THEN first_list
@@ -245,7 +245,10 @@ FROM (
       regr_slope(memory_percent, CAST(rn AS DOUBLE)) OVER f AS ms, stddev_samp(cpu_percent) OVER f AS sd
     FROM (SELECT *, {Q.rn_col()} FROM metrics) t
     WINDOW f AS ({Q.PART} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) u
-) v"""))
+) v"""
+
+
+@query("temporal_pattern", sql=m(TP_SELECT))
 def q_temporal_pattern(spark, sf_dir):
     return A.temporal_pattern(load_metrics(spark, sf_dir)).select(HOST, SAMPLE, TS, "temporal_pattern")
 
@@ -265,9 +268,13 @@ def q_consecutive_count(spark, sf_dir):
         HOST, SAMPLE, TS, "anomaly_probability", "consecutive")
 
 
-def _cooldown_sql(gated: bool, days: int = 2):
+def _cooldown_sql(gated: bool, days: int = 2, extra_ctes=(), final: str | None = None):
     src = "(SELECT * FROM scored WHERE anomaly_probability > 0.5)" if gated else "scored"
     counted = COUNTED_SQL.replace("FROM scored) t)", f"FROM {src} s0) t)")
+    final = final or """
+SELECT host_id, sample_id, "timestamp", round(anomaly_probability, 6) + 0.0 AS anomaly_probability, consecutive,
+  CASE WHEN anomaly_probability > 0.8 THEN 'CRITICAL' ELSE 'WARNING' END AS level
+FROM cand JOIN chain USING (host_id, cpos)"""
     return "WITH RECURSIVE " + ",".join((METRICS, SCORED, counted, f"""
 cand AS (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY "timestamp", sample_id) AS cpos FROM counted
   WHERE anomaly_probability > 0.5 AND (consecutive >= 3 OR anomaly_probability > 0.8))""", f"""
@@ -275,10 +282,7 @@ nxt AS (SELECT c.host_id, c.cpos, (SELECT min(c2.cpos) FROM cand c2 WHERE c2.hos
   AND c2."timestamp" >= c."timestamp" + INTERVAL {days} DAY) AS next_pos FROM cand c)""", """
 chain(host_id, cpos) AS (SELECT host_id, cpos FROM cand WHERE cpos = 1
   UNION ALL SELECT n.host_id, n.next_pos FROM chain ch JOIN nxt n ON n.host_id = ch.host_id AND n.cpos = ch.cpos
-  WHERE n.next_pos IS NOT NULL)""")) + """
-SELECT host_id, sample_id, "timestamp", round(anomaly_probability, 6) + 0.0 AS anomaly_probability, consecutive,
-  CASE WHEN anomaly_probability > 0.8 THEN 'CRITICAL' ELSE 'WARNING' END AS level
-FROM cand JOIN chain USING (host_id, cpos)"""
+  WHERE n.next_pos IS NOT NULL)""", *extra_ctes)) + final
 
 
 def _cooldown(spark, sf_dir, gated):
@@ -303,7 +307,28 @@ def _emitted_with_text(spark, sf_dir):
     return A.alert_message(A.alert_cooldown(sc, cooldown="2 days"))
 
 
-@query("alert_message")
+def _num(c, n=2):
+    f = float(10 ** n)
+    return f"CAST(floor({c} * {f} + 0.5) / {f} AS VARCHAR)"
+
+
+_MESSAGE_FINAL = f"""
+SELECT c.host_id, c.sample_id, c."timestamp", CASE WHEN c.anomaly_probability > 0.8 THEN 'CRITICAL' ELSE 'WARNING' END AS level,
+  concat_ws(chr(10),
+    (CASE WHEN c.anomaly_probability > 0.8 THEN 'CRITICAL' ELSE 'WARNING' END) || ' - SYSTEM ANOMALY DETECTED',
+    'Temporal Analysis: ' || coalesce(tp.temporal_pattern, 'Unknown pattern'),
+    'Confidence: ' || {_num('c.anomaly_probability * 100.0', 1)} || '%',
+    'Consecutive anomalies: ' || CAST(c.consecutive AS VARCHAR),
+    'Detection time: ' || strftime(c."timestamp", '%Y-%m-%d %H:%M:%S'),
+    'CPU Usage: ' || {_num('c.cpu_percent')} || '%',
+    'Memory Usage: ' || {_num('c.memory_percent')} || '%',
+    'Disk Usage: ' || {_num('c.disk_usage_percent')} || '%',
+    'Memory Used: ' || {_num('c.memory_used_gb')} || ' GB',
+    'Recommended Actions: {"; ".join(A.RECOMMENDED_ACTIONS)}') AS message
+FROM cand c JOIN chain USING (host_id, cpos) JOIN tp USING (sample_id)"""
+
+
+@query("alert_message", sql=_cooldown_sql(False, extra_ctes=(f"tp AS ({TP_SELECT})",), final=_MESSAGE_FINAL))
 def q_alert_message(spark, sf_dir):
     """Alert text for every emitted alert (pattern, confidence, count, state)."""
     return _emitted_with_text(spark, sf_dir).select(HOST, SAMPLE, TS, "level", "message")
@@ -317,7 +342,8 @@ def q_alert_log(spark, sf_dir):
     return A.alert_log(t10(spark, sf_dir), 100)
 
 
-@query("alert_route")
+@query("alert_route", sql=_cooldown_sql(False, extra_ctes=(f"tp AS ({TP_SELECT})",), final=(
+    "SELECT *, 'email' AS channel, 'System Anomaly Detected' AS subject FROM (" + _MESSAGE_FINAL + ") z")))
 def q_alert_route(spark, sf_dir):
     """Email outbox rows for the emitted alerts."""
     return A.alert_route(_emitted_with_text(spark, sf_dir).select(HOST, SAMPLE, TS, "level", "message"), "email")
