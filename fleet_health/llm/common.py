@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -39,3 +39,22 @@ def text_of(col: str = "text") -> Column:
 
 def hex_lower(binary: Column) -> Column:
     return F.lower(F.hex(binary))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], counts: dict, bucket_rows: int = 20_000) -> DataFrame:
+    """Adds ``_rank``, 0 .. n-1 within the (single) key, in a fixed order.
+    ``counts`` (key value: rows; few values) splits a key into hash buckets of
+    about ``bucket_rows`` rows, so no task sorts a whole hot key; offsets come
+    from the buckets' counts.  Rows equal in ``order`` may change places."""
+    key = keys[0]
+    h = F.xxhash64(*order)
+    split = [(k, n // bucket_rows + 1) for k, n in counts.items() if n > bucket_rows]
+    buckets = F.lit(1)
+    if split:
+        buckets = F.coalesce(F.create_map(*[F.lit(x) for kn in split for x in kn])[F.col(key)], F.lit(1))
+    b = df.withColumn("_h", h).withColumn("_b", F.pmod("_h", buckets.cast("long")))
+    held = b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = held.select(key, "_b", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy("_h", *order))
+    return (b.join(offsets, [key, "_b"]).withColumn("_rank", F.col("_o") + inside - 1).drop("_h", "_b", "_o"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from ..session import configure
 from .common import table, text_of
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_repeated_lines
+from .minhash import near_duplicates
 from .mixing import BLOCK_WORDS, MAX_EPOCHS, SEED, mix_sources
+from .packing import pack_documents
 from .secret_scan import scan_digest
 from .url_filter import judge_urls, rules_frame
 
@@ -136,3 +139,13 @@ FROM m GROUP BY doc_id""")
 def op7_line_dedup(spark, sf_dir):
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("kept_sha256"))
+
+
+@query("op2_near_dedup")
+def op2_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@query("op10_packing")
+def op10_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
