@@ -13,6 +13,8 @@ from .line_dedup import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import BLOCK_WORDS, MAX_EPOCHS, SEED, mix_sources
 from .packing import pack_documents
+from .quality_pu import quality_scores
+from .quality_rules import quality_rules
 from .secret_scan import scan_digest
 from .url_filter import judge_urls, rules_frame
 
@@ -149,3 +151,13 @@ def op2_near_dedup(spark, sf_dir):
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
