@@ -58,3 +58,33 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], counts: dict, buc
         Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy("_h", *order))
     return (b.join(offsets, [key, "_b"]).withColumn("_rank", F.col("_o") + inside - 1).drop("_h", "_b", "_o"))
+
+
+class Masked:
+    """``docs`` under plain column names (c0, c1, ...), so that no name of an
+    operator can clash with one of the table; ``back`` gives the names again."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.df = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def of(self, name: str) -> str:
+        """The plain name; of names that differ in case only the exact one, else the first."""
+        same = [i for i, n in enumerate(self.names) if n == name] or [
+            i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        return f"c{same[0]}"
+
+    def has(self, name: str) -> bool:
+        return name in self.names
+
+    def back(self, df: DataFrame, *more: str) -> DataFrame:
+        """The table's columns and ``more``, which take the place of columns so named."""
+        own = [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n not in more]
+        return df.select(*own, *more)
+
+    def with_length(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``n_chars``, if the table has it, following the text."""
+        if not (self.has("n_chars") and self.has("text")):
+            return df
+        c = self.of("n_chars")
+        return df.withColumn(c, F.length(self.of("text")).cast(df.schema[c].dataType))

@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, stored, text_of, work_dir
+from .common import SPACE_CHARS, Masked, stored, text_of, work_dir
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -114,22 +114,24 @@ def owners(lines: DataFrame, batches: int = BATCHES, fan_out: int = FAN_OUT) ->
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         min_chars: int = MIN_CHARS, batches: int = BATCHES, fan_out: int = FAN_OUT) -> DataFrame:
     """``docs`` with the text's repeated lines gone, and ``n_lines`` (before)
-    and ``n_dropped``.  A text that loses nothing stays as it is (null too)."""
-    text = text_of(text_col)
-    own_key = [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text_key")]
-    lines = docs.select(*own_key, F.posexplode(line_hashes(F.split(text, "\n", -1), min_chars)).alias("pos", "hash"))
-    lines = stored(lines.filter("hash is not null").select(
-        F.col("_id").alias("doc_id"), "_text_key", "pos", F.unhex("hash").alias("hash")), "line_hashes")
+    and ``n_dropped``.  A text that loses nothing stays as it is (null too); a
+    text that loses all lines becomes empty.  ``n_chars`` follows the text."""
+    m = Masked(docs)
+    id_, text_ = m.of(id_col), m.of(text_col)
+    text = text_of(text_)
+    lines = m.df.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("text_key"),
+                        F.posexplode(line_hashes(F.split(text, "\n", -1), min_chars)).alias("pos", "hash"))
+    lines = stored(lines.filter("hash is not null").withColumn("hash", F.unhex("hash")), "line_hashes")
     own = owners(lines.select("doc_id", "hash"), batches, fan_out)
     lost = (lines.join(own, "hash").filter(~F.col("owner").eqNullSafe(F.col("doc_id")))
-            .groupBy(F.col("doc_id").alias("_id"), "_text_key").agg(F.sort_array(F.collect_set("pos")).alias("_lost")))
-    out = docs.withColumn("_key", F.xxhash64(text))
-    out = out.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
+            .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("lost")))
+    out = m.df.withColumn("key", F.xxhash64(text))
+    out = out.join(lost, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
     # what stays lies between the lost positions
-    out = out.withColumn("_lines", F.split(text, "\n", -1)).withColumn("n_lines", F.size("_lines").cast("long"))
-    gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("_lost", lambda p: p + 1)).alias("a"),
-                        F.concat(F.col("_lost"), F.array(F.size("_lines"))).alias("b"))
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("_lines"), g["a"] + 1, g["b"] - g["a"])))
-    out = (out.withColumn("n_dropped", F.coalesce(F.size("_lost"), F.lit(0)).cast("long"))
-           .withColumn(text_col, F.when(F.col("_lost").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))))
-    return out.drop("_id", "_text_key", "_key", "_lost", "_lines")
+    out = out.withColumn("lines", F.split(text, "\n", -1)).withColumn("n_lines", F.size("lines").cast("long"))
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("lost", lambda p: p + 1)).alias("a"),
+                        F.concat(F.col("lost"), F.array(F.size("lines"))).alias("b"))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("lines"), g["a"] + 1, g["b"] - g["a"])))
+    out = (out.withColumn("n_dropped", F.coalesce(F.size("lost"), F.lit(0)).cast("long"))
+           .withColumn(text_, F.when(F.col("lost").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_))))
+    return m.back(m.with_length(out), "n_lines", "n_dropped")

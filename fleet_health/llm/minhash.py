@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Hasher, chunked, code_points, mix, unit, words
-from .common import stored, text_of
+from .common import Masked, stored, text_of
 from .graph import components
 
 SHINGLE = 5
@@ -266,9 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` with one document of each class.  Rows that repeat the id and
     text of one that stays are copies of it and go."""
-    keep = near_duplicates(docs, id_col, text_col, **params).filter("first")
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    key = F.unhex(F.md5(text_of(text_col)))
-    return (docs.withColumn("_own", key)
-            .join(keep, F.col("_own").eqNullSafe(F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-            .dropDuplicates(["_own", id_col]).drop("_own"))
+    m = Masked(docs)
+    id_, text_ = m.of(id_col), m.of(text_col)
+    keep = near_duplicates(m.df, id_, text_, **params).filter("first").select("doc_id", "key")
+    own = m.df.withColumn("own", F.unhex(F.md5(text_of(text_))))
+    kept = own.join(keep, (F.col("own") == F.col("key")) & F.col(id_).eqNullSafe(F.col("doc_id")), "left_semi")
+    return m.back(kept.dropDuplicates(["own", id_]))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_of
+from .common import WORD, Masked, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -179,20 +179,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself, with the columns of ``docs``: a row for each time a
     document is taken whole, and one for each further part of it, whose text
     holds just the words taken (white space before a word goes with it)."""
-    base = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix_input")
-    sizes = stored(base.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                               word_count(text_col).alias("size"), "_row"), "sizes")
-    plan = plan_mix(sizes, **params).filter("taken > 0").select("_row", "size", "whole", "pieces")
+    m = Masked(docs)
+    text_ = m.of(text_col)
+    base = stored(m.df.withColumn("row", F.monotonically_increasing_id()), "mix_input")
+    sizes = stored(base.select(F.col(m.of(id_col)).alias("doc_id"), F.col(m.of(source_col)).alias("source"),
+                               word_count(text_).alias("size"), "row"), "sizes")
+    plan = plan_mix(sizes, **params).filter("taken > 0").select("row", "size", "whole", "pieces")
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("whole")),
                         lambda _: F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("words")))
     parts = F.concat(F.when(F.col("whole") > 0, whole).otherwise(F.array().cast("array<struct<start:bigint,words:bigint>>")),
                      F.col("pieces"))
-    out = base.join(plan, "_row").select("*", F.explode(parts).alias("_part"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(SPACED_WORD), F.lit(0)),
-                               (F.col("_part.start") + 1).cast("int"), F.col("_part.words").cast("int")), "")
-    text = F.when(F.col("_part.words") == F.col("size"), F.col(text_col)).otherwise(cut)
-    out = out.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
+    out = base.join(plan, "row").select("*", F.explode(parts).alias("part"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_), F.lit(SPACED_WORD), F.lit(0)),
+                               (F.col("part.start") + 1).cast("int"), F.col("part.words").cast("int")), "")
+    out = out.withColumn(text_, F.when(F.col("part.words") == F.col("size"), F.col(text_)).otherwise(cut))
+    return m.back(m.with_length(out))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import chunked
-from .common import stored, text_of
+from .common import Masked, stored, text_of
 from .features import Linear, Texts, bounded, descend, fitted, model_row, platt, sigmoid, sparse_rows
 
 TRAIN_ROWS = 2500
@@ -66,16 +66,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
 
 
 def judge(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``probability`` and ``kept``."""
-    names = [f.name for f in docs.schema.fields]
-    given = docs.withColumns({"_text": text_of(text_col)})
+    """``docs`` with the counts, ``base_failed``, ``probability`` and ``kept``,
+    which take the place of columns so named."""
+    m = Masked(docs)
+    given = m.df.withColumn("given", text_of(m.of(text_col)))
     added = [T.StructField(c, T.LongType()) for c in COUNTS] + [
         T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-    schema = T.StructType(docs.schema.fields + added)
+    n = len(m.names)
 
     def run(batches):
         for b in batches:
-            all_texts = b.column("_text").to_pylist()
+            all_texts = b.column(n).to_pylist()
             for lo, hi in chunked(all_texts):
                 t = Texts(all_texts[lo:hi])
                 c = t.counts
@@ -83,11 +84,12 @@ def judge(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD, t
                 p = model.score(t) if model else np.ones(t.n)
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(names))), *(pa.array(c[x]) for x in COUNTS), pa.array(failed),
+                    [*(part.column(i) for i in range(n)), *(pa.array(c[x]) for x in COUNTS), pa.array(failed),
                      pa.array(p), pa.array(~failed & (p >= threshold))],
-                    names=[*names, *COUNTS, "base_failed", "probability", "kept"])
+                    names=[*(f"c{i}" for i in range(n)), *COUNTS, "base_failed", "probability", "kept"])
 
-    return given.mapInArrow(run, schema)
+    judged = given.mapInArrow(run, T.StructType(m.df.schema.fields + added))
+    return m.back(judged, *(f.name for f in added))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD,
@@ -103,6 +105,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that the rules reject."""
     model = train(docs, labels, train_rows, id_col, text_col)
-    columns = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # clashing names stay apart
-    judged = judge(docs.toDF(*columns.values()), model, threshold, columns[text_col]).filter("kept")
-    return judged.select(*[F.col(v).alias(k) for k, v in columns.items()])
+    m = Masked(docs)
+    return m.back(judge(m.df, model, threshold, m.of(text_col)).filter("kept"))

@@ -17,6 +17,7 @@ from .quality_pu import quality_scores
 from .quality_rules import quality_rules
 from .secret_scan import scan_digest
 from .url_filter import judge_urls, rules_frame
+from .warc import round_trip
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +162,15 @@ def op8_quality_rules(spark, sf_dir):
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS id FROM p WHERE octet_length(b) >= 100 GROUP BY h)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN id IS NULL OR page_id = id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN id IS NOT NULL AND page_id != id THEN id END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h""")
+def op5_warc(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
