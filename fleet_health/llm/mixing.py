@@ -14,8 +14,8 @@
    quotient.  The method is house-monotone, so differences of neighbouring ends
    are the shards' quotas.
 4. Selection: a source's rows stand in a seeded order and its words form one
-   line of blocks.  The quota is dealt as whole passes over the line and then a
-   cyclic run of blocks from a seeded start, so rows stay whole except where a
+   line.  The quota's words are dealt as whole passes over the line and then a
+   cyclic run of blocks from a seeded start, so rows stay whole except where the
    run begins or ends.  The positions are exact running sums: the rows of a
    source are counted in hash buckets of bounded size first, so a source with a
    third of all rows is never sorted in one task.
@@ -126,10 +126,6 @@ def positions(sizes: DataFrame, targets: DataFrame, seed: str = SEED, bucket_row
             .drop("bucket", "offset", "key", "n_rows"))
 
 
-def _cut(lo: Column, hi: Column, a: Column, b: Column) -> Column:
-    return F.greatest(F.least(hi, b) - F.greatest(lo, a), F.lit(0))
-
-
 def plan_mix(sizes: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS,
              max_epochs: int = MAX_EPOCHS, seed: str = SEED, weights=WEIGHTS) -> DataFrame:
     """``sizes`` (``doc_id``, ``source``, ``size`` and more columns) with
@@ -138,17 +134,17 @@ def plan_mix(sizes: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHA
     ``taken`` (all words taken)."""
     targets = stored(source_targets(sizes, weights, max_epochs), "targets")
     quotas = stored(shard_quotas(targets, block_words, shards, max_epochs), "quotas")
+    seeded = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.lit("start"), F.coalesce("source", F.lit("null"))), 256), 1, 12),
+                    16, 10).cast("long")
     line = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
+    some = F.col("source_size") > 0
+    zero = F.lit(0).cast("long")
     total = (quotas.groupBy("rank").agg(F.max("end").alias("quota")).join(targets.select("rank", "source_size", "source"), "rank")
-             .withColumn("line", line)
-             .withColumn("passes", F.when(F.col("line") > 0, F.floor(F.col("quota") / F.col("line"))).otherwise(F.lit(0)).cast("long"))
-             .withColumn("extra", F.col("quota") - F.col("passes") * F.col("line"))
-             .withColumn("first", F.when(F.col("line") > 0, F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(
-                 "|", F.lit(seed), F.lit("start"), F.coalesce("source", F.lit("null"))), 256), 1, 12), 16, 10).cast("long"),
-                 F.col("line"))).otherwise(F.lit(0)).cast("long"))
-             .select("rank", "passes", (F.col("first") * block_words).alias("lo"),
-                     ((F.col("first") + F.col("extra")) * block_words).alias("hi"),
-                     (F.col("line") * block_words).alias("turn")))
+             .withColumn("words", F.least(F.col("quota") * block_words, F.col("source_size") * max_epochs))
+             .withColumn("passes", F.when(some, F.floor(F.col("words") / F.col("source_size"))).otherwise(zero).cast("long"))
+             .withColumn("lo", F.when(some, F.pmod(seeded, line) * block_words).otherwise(zero))
+             .select("rank", "passes", "lo", (F.col("lo") + F.col("words") - F.col("passes") * F.col("source_size")).alias("hi"),
+                     F.col("source_size").alias("turn")))
     r = positions(sizes, targets, seed).join(total, "rank")
     end = F.col("at") + F.col("size")
     # the cyclic run [lo, hi), and the same run one turn earlier

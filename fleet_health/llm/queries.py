@@ -98,12 +98,11 @@ seats AS (SELECT rank, total, target / (2 * j - 1) AS quotient, j FROM (
 won AS (SELECT rank, count(*) AS q FROM (
           SELECT rank, total, row_number() OVER (ORDER BY quotient DESC, rank, j) AS place FROM seats)
         WHERE place <= round(total::DOUBLE / {BLOCK_WORDS}) GROUP BY rank),
-b AS (SELECT t.*, ceil(source_size / {BLOCK_WORDS}.0)::BIGINT AS line FROM t),
-r AS (SELECT b.*, least(coalesce(q, 0), line * {MAX_EPOCHS}) AS quota FROM b LEFT JOIN won ON b.rank = won.rank),
-g AS (SELECT *, CASE WHEN line > 0 THEN quota // line ELSE 0 END AS passes,
-             CASE WHEN line > 0 THEN ('0x' || substr(sha256('{SEED}|start|' || coalesce(source, 'null')), 1, 12))::BIGINT % line ELSE 0 END AS first
-      FROM r),
-h AS (SELECT *, first * {BLOCK_WORDS} AS lo, (first + quota - passes * line) * {BLOCK_WORDS} AS hi, line * {BLOCK_WORDS} AS turn FROM g),
+b AS (SELECT t.*, least(coalesce(q, 0) * {BLOCK_WORDS}, source_size * {MAX_EPOCHS}) AS words,
+             ceil(source_size / {BLOCK_WORDS}.0)::BIGINT AS line FROM t LEFT JOIN won ON t.rank = won.rank),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes, CASE WHEN line > 0 THEN {BLOCK_WORDS}
+             * (('0x' || substr(sha256('{SEED}|start|' || coalesce(source, 'null')), 1, 12))::BIGINT % line) ELSE 0 END AS lo FROM b),
+h AS (SELECT *, lo + words - passes * source_size AS hi, source_size AS turn FROM g),
 o AS (SELECT d.*, source_size, target, passes, lo, hi, turn, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY
              sha256('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
       FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
