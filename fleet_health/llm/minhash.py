@@ -19,8 +19,11 @@ on the shingle sets:
 2. each node is checked against the smallest of the smallest nodes of its
    buckets, then against the other buckets' smallest nodes that it is not yet
    linked with;
-3. in buckets that still hold several classes, the pairs across classes that
-   can have the similarity by their sizes are checked: nothing is capped.
+3. in buckets that still hold several classes, the pairs across classes are
+   compared inside the join by a sketch (four bits of each coordinate) and their
+   sizes, at their first common bucket, and only those that come within three
+   standard deviations of the similarity leave the join and are checked: nothing
+   is capped.  Of links of similarity 0.8 this step alone finds 99.9 %.
 
 So a large group of near copies costs one check a member, not one a pair, and
 links inside a class that is known are not looked for.  Classes are connected
@@ -38,6 +41,7 @@ text are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,9 @@ from .graph import components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
+# coordinates of a signature; the first BANDS * ROWS of them make the bands
+COORDINATES = 384
+SKETCH_BITS = 4
 _ODD = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25,
                  0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)  # a factor for each place in a shingle
@@ -146,17 +153,30 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(acc + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _ODD[1]).view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """n x (SKETCH_BITS * k / 64): the bits of the coordinates' hashes, plane by plane."""
+    h = mix(np.ascontiguousarray(sig).view(np.uint64))
+    planes = [np.packbits((h >> np.uint64(p)).astype(np.uint8) & 1, axis=1).view(np.int64) for p in range(SKETCH_BITS)]
+    return np.concatenate(planes, axis=1)
+
+
 def _lists(values: np.ndarray, sizes) -> pa.Array:
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _coordinates(bands: int, rows: int) -> int:
+    return max(COORDINATES, -(-bands * rows // 64) * 64)
+
+
 def band_table(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, counted: bool = False) -> DataFrame:
     """``keyed`` (``row_id``, ``doc_id``, ``key``, ``text``) with ``size``
-    (distinct shingles) and ``bands``.  ``counted`` weighs a shingle by how
+    (distinct shingles), ``bands`` and ``sketch``.  ``counted`` weighs a shingle by how
     often it occurs, else all weigh 1."""
-    schema = f"row_id bigint, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, key binary, size bigint, bands array<bigint>"
+    schema = (f"row_id bigint, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, key binary, size bigint, "
+              "bands array<bigint>, sketch array<bigint>")
+    k = _coordinates(bands, rows)
 
     def run(batches):
         for b in batches:
@@ -165,13 +185,15 @@ def band_table(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int =
                 t, s, c = shingles(texts[lo:hi], n)
                 m = hi - lo
                 w = c.astype(np.float64) if counted else np.ones(len(s))
-                sig = signatures(t, s, w, m, bands * rows)
+                sig = signatures(t, s, w, m, k)
                 size = np.bincount(t, minlength=m)
-                keys = band_keys(sig, bands, rows)[size > 0]
+                full = size > 0
+                keys, bits = band_keys(sig[full, :bands * rows], bands, rows), sketches(sig[full])
                 p = b.slice(lo, m)
                 yield pa.RecordBatch.from_arrays(
                     [p.column("row_id"), p.column("doc_id"), p.column("key"), pa.array(size, pa.int64()),
-                     _lists(keys.ravel(), np.where(size > 0, bands, 0))], names=["row_id", "doc_id", "key", "size", "bands"])
+                     _lists(keys.ravel(), np.where(full, bands, 0)), _lists(bits.ravel(), np.where(full, bits.shape[1], 0))],
+                    names=["row_id", "doc_id", "key", "size", "bands", "sketch"])
 
     return keyed.select("row_id", "doc_id", "key", "text").mapInArrow(run, schema)
 
@@ -195,6 +217,23 @@ def _can_match(a, b, threshold: float):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
+def least_agreement(k: int, threshold: float) -> int:
+    """Coordinates of the sketch that agree at a similarity of ``threshold``, less
+    three standard deviations (differing coordinates agree by chance too)."""
+    p = threshold + (1 - threshold) / 2 ** SKETCH_BITS
+    return math.floor(k * p - 3 * math.sqrt(k * p * (1 - p)))
+
+
+def _agreement(a: str, b: str, k: int):
+    """How many of the sketches' k coordinates agree."""
+    words_ = k // 64
+    differ = []
+    for w in range(words_):
+        x = [F.col(a)[p * words_ + w].bitwiseXOR(F.col(b)[p * words_ + w]) for p in range(SKETCH_BITS)]
+        differ.append(F.bit_count(reduce(lambda u, v: u.bitwiseOR(v), x)))
+    return F.lit(k) - reduce(lambda u, v: u + v, differ)
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) whose sets have the similarity."""
     sa = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
@@ -204,9 +243,9 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return p.filter(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
+def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, k: int | None = None) -> DataFrame:
     """Links (``a``, ``b``) that give the classes of ``nodes`` (``node``,
-    ``key``, ``size``, ``bands``); ``texts`` has ``key`` and ``text``."""
+    ``key``, ``size``, ``bands``, ``sketch``); ``texts`` has ``key`` and ``text``."""
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     first = rows.groupBy("bucket").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = stored(rows.join(first.select("bucket", "rep"), "bucket"), "hits")
@@ -218,15 +257,15 @@ def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
 
     star = hits.groupBy("node").agg(F.min("rep").alias("a")).filter("a != node").select("a", F.col("node").alias("b"))
     links = stored(_checked(star, sets, threshold), "links")
-    near = stored(hits.join(links.select(F.col("a").alias("near"), F.col("b").alias("node")), "node", "left")
-                  .withColumn("near", F.coalesce("near", "node")), "hits")
 
-    # the other buckets' smallest nodes, where both are not yet at the same one
-    reps = links.select(F.col("b").alias("rep"), F.col("a").alias("rep_near"))
+    # the other buckets' smallest nodes that are not in the same class yet
+    roots = stored(components(links), "roots")
+    classed = hits.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = hits.groupBy("node").agg(F.min("rep").alias("tried"))
-    more = (near.filter("rep != node and rep != near").join(smallest, "node").filter("rep != tried")
-            .select("node", "rep", "near").distinct().join(reps, "rep", "left")
-            .filter(F.coalesce("rep_near", "rep") != F.col("near"))
+    of_rep = roots.select(F.col("node").alias("rep"), F.col("root").alias("rep_root"))
+    more = (classed.filter("rep != node").join(smallest, "node").filter("rep != tried")
+            .select("node", "rep", "root").distinct().join(of_rep, "rep", "left")
+            .filter(F.coalesce("rep_root", "rep") != F.col("root"))
             .select(F.col("rep").alias("a"), F.col("node").alias("b")))
     links = stored(links.unionByName(_checked(more, sets, threshold)), "links")
 
@@ -234,11 +273,16 @@ def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     roots = stored(components(links), "roots")
     classed = hits.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    classed = stored(classed.join(mixed, "bucket"), "mixed")
-    x = classed.select("bucket", "rep", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
-    y = classed.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
-    across = (x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("a") != F.col("rep"))
-                                         & _can_match(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct())
+    more_of = nodes.select("node", "bands", "sketch")
+    classed = stored(classed.join(mixed, "bucket").join(more_of, "node"), "mixed")
+    x = classed.select("bucket", "rep", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"),
+                       F.col("bands").alias("ba"), F.col("sketch").alias("ka"))
+    y = classed.select(F.col("bucket").alias("same"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"),
+                       F.col("bands").alias("bb"), F.col("sketch").alias("kb"))
+    k = k or COORDINATES
+    across = x.join(y, (F.col("bucket") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+                    & _can_match(F.col("na"), F.col("nb"), threshold) & (_agreement("ka", "kb", k) >= least_agreement(k, threshold))
+                    & (F.array_intersect("ba", "bb")[0] == F.col("bucket"))).select("a", "b")
     return stored(links.unionByName(_checked(across, sets, threshold)), "links")
 
 
@@ -249,10 +293,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the smallest id) and ``key`` (MD5 of the text)."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     table = stored(band_table(d.withColumn("row_id", F.monotonically_increasing_id()), bands, rows, n, counted), "bands")
-    nodes = (table.groupBy("key").agg(F.min(F.struct("row_id", "size", "bands")).alias("x"))
-             .select(F.col("x.row_id").alias("node"), "key", F.col("x.size").alias("size"), F.col("x.bands").alias("bands")))
+    nodes = (table.groupBy("key").agg(F.min(F.struct("row_id", "size", "bands", "sketch")).alias("x"))
+             .select(F.col("x.row_id").alias("node"), "key", F.col("x.size").alias("size"), F.col("x.bands").alias("bands"),
+                     F.col("x.sketch").alias("sketch")))
     nodes = stored(nodes, "nodes")
-    links = near_links(nodes, d.select("key", "text"), threshold, n)
+    links = near_links(nodes, d.select("key", "text"), threshold, n, _coordinates(bands, rows))
     roots = components(links)
     of_key = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     member = stored(table.select("row_id", "doc_id", "key").join(of_key, "key"), "members")
