@@ -40,7 +40,7 @@ SHARDS = 8
 SEED = "mix-1"
 SPACED_WORD = r"[\x20\x09-\x0D]*" + WORD
 # rows of one source that one task sorts, on average
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
