@@ -1,9 +1,9 @@
 """Isolation forest (M1) and its parameter search (M2).
 
-Training: every tree gets its own sub-sample of at most ``max_samples`` rows
-chosen by an arithmetic hash (a cheap pre-filter keeps the expansion to
-tree ids bounded no matter how large the table is); trees are grown in
-parallel, one ``applyInPandas`` group per tree.  The fitted forest has at
+Training: every tree gets exactly psi distinct rows, the first ones by a hash
+of (id, tree).  They come from a pool of about ``POOL`` x n_trees x psi rows
+drawn by another hash, so the expansion to tree ids does not grow with the
+table; ``fit`` raises if a tree falls short.  Trees are grown in parallel, one ``applyInPandas`` group per tree.  The fitted forest has at
 most n_trees x (2 x max_samples - 1) nodes - a model-sized object - and is
 broadcast for scoring, which runs vectorised in ``mapInPandas``.
 
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.knn import top_share
-from ..operators.labels import unit_hash
 from ..schema import SAMPLE
 
 EULER = 0.5772156649015329
+POOL = 4.0  # rows to choose from, per row wanted
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size long, depth int")
 
@@ -80,13 +80,17 @@ def fit(df: DataFrame, features: Sequence[str], n_trees: int = 100, max_samples:
     feats = list(features)
     n = df.count()
     psi = int(min(max_samples, n))
-    q = min(1.0, n_trees * 2.0 * psi / max(n, 1))
-    r = min(1.0, 2.0 * psi / max(n * q, 1))
-    pre = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats]) \
-            .filter(unit_hash(F.col("_id"), seed) < q)
-    per_tree = pre.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    u = unit_hash(F.col("_id"), F.lit(seed).cast("long") + F.lit(7919) * (F.col("tree").cast("long") + 1))
-    per_tree = per_tree.select("*", u.alias("_u")).filter(F.col("_u") < r)
+    if psi < 1:
+        raise ValueError("an isolation forest needs at least one row")
+    draw = lambda *salt: F.pmod(F.xxhash64(F.col("_id"), *[F.lit(seed) if x is None else x for x in salt]), F.lit(1 << 52)) \
+        / F.lit(float(1 << 52))
+    # a pool for all trees, and of it four times psi rows to each tree to choose from
+    q = min(1.0, POOL * n_trees * psi / n)
+    r = min(1.0, POOL * psi / (n * q))
+    pool = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats]) \
+             .filter(draw(None, F.lit("pool")) < q)
+    per_tree = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    per_tree = per_tree.withColumn("_u", draw(None, F.col("tree"))).filter(F.col("_u") < r)
     mf = max(1, int(round(max_features * len(feats)))) if max_features <= 1.0 else int(max_features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,19 +101,28 @@ def fit(df: DataFrame, features: Sequence[str], n_trees: int = 100, max_samples:
                                            "size", "depth"])
 
     nodes = per_tree.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    roots = nodes[nodes["node"] == 0]
+    if len(roots) != n_trees or (roots["size"] != psi).any():
+        raise RuntimeError(f"{len(roots)} of {n_trees} trees grew, on {sorted(set(roots['size']))} rows instead of {psi}")
     return {"nodes": nodes, "psi": psi, "features": feats, "n_trees": n_trees}
 
 
-def _path_lengths(model: dict, x: np.ndarray) -> np.ndarray:
-    nodes = model["nodes"]
-    total = np.zeros(len(x))
+def _tree_arrays(nodes: pd.DataFrame) -> list[tuple]:
+    """Per tree: feature, threshold, left, right, path length of a leaf, height."""
+    out = []
     for _t, g in nodes.groupby("tree"):
         g = g.sort_values("node")
-        feat, thr = g["feature"].to_numpy(), g["threshold"].to_numpy()
-        left, right = g["left"].to_numpy(), g["right"].to_numpy()
-        size, depth = g["size"].to_numpy(), g["depth"].to_numpy()
+        depth = g["depth"].to_numpy()
+        out.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
+                    depth + c_factor(g["size"].to_numpy()), int(depth.max())))
+    return out
+
+
+def _path_lengths(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for feat, thr, left, right, length, height in trees:
         cur = np.zeros(len(x), dtype=int)
-        for _ in range(int(depth.max()) + 1):
+        for _ in range(height + 1):
             f = feat[cur]
             inner = f >= 0
             if not inner.any():
@@ -117,8 +130,8 @@ def _path_lengths(model: dict, x: np.ndarray) -> np.ndarray:
             v = x[np.arange(len(x)), np.where(inner, f, 0)]
             nxt = np.where(v < thr[cur], left[cur], right[cur])
             cur = np.where(inner, nxt, cur)
-        total += depth[cur] + c_factor(size[cur])
-    return total / nodes["tree"].nunique()
+        total += length[cur]
+    return total / len(trees)
 
 
 def score(model: dict, df: DataFrame, contamination: float | None = 0.01,
@@ -131,10 +144,10 @@ def score(model: dict, df: DataFrame, contamination: float | None = 0.01,
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
 
     def run(batches):
-        m = bc.value
+        trees = _tree_arrays(bc.value["nodes"])
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype="float64")
-            h = _path_lengths(m, x) if len(pdf) else np.zeros(0)
+            h = _path_lengths(trees, x) if len(pdf) else np.zeros(0)
             yield pdf.assign(anomaly_score=np.power(2.0, -h / cpsi))
 
     scored = df.mapInPandas(run, out_schema)

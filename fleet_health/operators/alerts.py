@@ -224,9 +224,9 @@ def threshold_alerts(metrics: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ R25
 def assign_ids(df: DataFrame, order=(TS, HOST, "title"), name: str = "alert_id") -> DataFrame:
-    """Running id 1..n in ``order`` without a single-task global sort:
-    positions come from per-hour counts (see ``series.with_position``)."""
-    return series.with_position(df, keys=(), order=list(order)).withColumnRenamed(RN, name)
+    """Running id 1..n in ``order`` without a single-task global sort and
+    without a hot hour: positions come from even ranges of ``order``."""
+    return series.global_position(df, list(order), name)
 
 
 def create_alerts(raw: DataFrame, snapshot_cols=(CPU, MEM, DISK, MEM_USED)) -> DataFrame:

@@ -1,7 +1,8 @@
 """Labels and training-set preparation.
 
-Randomness is a deterministic arithmetic hash of row ids (``unit_hash``),
-so every run, engine and partitioning gives the same picks.  Exact ranks
+Randomness is a deterministic hash of row ids and a salt (``unit_hash``),
+so every run, engine and partitioning gives the same picks; draws of one row
+under different salts are independent.  Exact ranks
 inside a class or host come from bucketed counting (``series.with_position``)
 rather than one window per class, because the majority class is a hot
 group by definition.
@@ -20,7 +21,6 @@ from .series import RN
 # --- fixed values ------------------------------------------------------
 FAILURE_THRESHOLDS = {CPU: 95.0, MEM: 98.0, DISK: 99.0}
 FAILURE_HORIZON_ROWS = 24
-HASH_MULT, HASH_INC, HASH_MOD = 1103515245, 12345, 2147483648
 RANK_BUCKETS = 65536
 # point anomalies: share, cap, margin, affected memory rows
 POINT_SHARE, POINT_CAP, POINT_MARGIN, POINT_MEMORY_ROWS, POINT_MEMORY_FACTOR = 20, 50, 10, 6, 1.5
@@ -41,10 +41,10 @@ GRADUAL_RULES = {
 
 
 def unit_hash(ids: Column, salt: int) -> Column:
-    """u(id, salt) in [0, 1): ((id * 1103515245 + salt * 12345 + 12345) mod 2^31) / 2^31.
-    BIGINT arithmetic that every SQL engine reproduces bit for bit."""
-    return (((ids.cast("long") * F.lit(HASH_MULT) + F.lit(salt * HASH_INC + HASH_INC))
-             % F.lit(HASH_MOD)).cast("double") / F.lit(float(HASH_MOD)))
+    """u(id, salt) in [0, 1): the first 52 bits of md5("id|salt") / 2^52.  Any id
+    goes, no product can overflow, and every SQL engine reproduces it."""
+    digest = F.md5(F.concat_ws("|", ids.cast("string"), F.lit(str(salt))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def rank_within(df: DataFrame, keys, score: Column, tie: str = SAMPLE, name: str = "_rank") -> DataFrame:
@@ -81,23 +81,30 @@ def _host_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy(HOST).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _picks(pos: DataFrame, share: int, cap: int, margin: int, salt: int) -> DataFrame:
-    """min(cap, n // share) distinct picks per host among 0-based positions
-    [margin, n - margin], chosen by hash rank.  The literal cap lets Spark
-    apply the per-host limit partially before the shuffle."""
+def _picks(pos: DataFrame, share: int, cap: int | None, margin: int, salt: int) -> DataFrame:
+    """n // share (with ``cap`` at most cap) distinct picks per host among
+    0-based positions [margin, n - margin], chosen by hash rank.  A literal cap
+    lets Spark apply the per-host limit partially before the shuffle; without
+    one the rank is counted in hash buckets, as a host may be hot."""
     from pyspark.sql import Window
     idx = F.col(RN) - 1
     elig = pos.filter((idx >= margin) & (idx <= F.col("_n") - margin))
+    wanted = F.floor(F.col("_n") / share)
+    if cap is None:
+        at = elig.withColumnRenamed(RN, "_at")
+        ranked = rank_within(at, [HOST], unit_hash(F.col(SAMPLE), salt), name="_pick_rank").withColumnRenamed("_at", RN)
+        return ranked.filter(F.col("_pick_rank") <= wanted)
     w = Window.partitionBy(HOST).orderBy(unit_hash(F.col(SAMPLE), salt), F.col(SAMPLE))
     ranked = elig.withColumn("_pick_rank", F.row_number().over(w)).filter(F.col("_pick_rank") <= cap)
-    return ranked.filter(F.col("_pick_rank") <= F.least(F.lit(cap), F.floor(F.col("_n") / share)))
+    return ranked.filter(F.col("_pick_rank") <= F.least(F.lit(cap), wanted))
 
 
 # ------------------------------------------------------------------ L2
-def inject_point_anomalies(df: DataFrame, salt: int = 1) -> DataFrame:
+def inject_point_anomalies(df: DataFrame, salt: int = 1, cap: int | None = None) -> DataFrame:
     """Label augmentation on a real table (one label per pick).
 
-    Per host: min(50, n // 20) picks away from the first / last 10 rows;
+    Per host: n // 20 picks (with ``cap`` at most that many; the reference's
+    trainers use ``POINT_CAP``) away from the first / last 10 rows;
     cpu_spike sets cpu to U(90, 100); memory_leak sets memory to U(95, 100)
     and multiplies memory_used_gb by 1.5 on the pick and the 5 rows after
     it; disk_full sets disk to U(95, 100).  The range effect is an interval
@@ -106,7 +113,7 @@ def inject_point_anomalies(df: DataFrame, salt: int = 1) -> DataFrame:
     """
     base = df.drop(LABEL) if LABEL in df.columns else df
     pos = series.with_position(base).join(_host_sizes(base), HOST)
-    picks = _picks(pos, POINT_SHARE, POINT_CAP, POINT_MARGIN, salt)
+    picks = _picks(pos, POINT_SHARE, cap, POINT_MARGIN, salt)
     kind_idx = F.floor(unit_hash(F.col(SAMPLE), salt + 1) * len(POINT_KINDS)).cast("int")
     u = unit_hash(F.col(SAMPLE), salt + 2)
     picks = picks.select(HOST, RN, kind_idx.alias("_kind"), u.alias("_u"))
@@ -130,10 +137,11 @@ def inject_point_anomalies(df: DataFrame, salt: int = 1) -> DataFrame:
 
 
 # ------------------------------------------------------------------ L3
-def inject_gradual_anomalies(df: DataFrame, salt: int = 11) -> DataFrame:
+def inject_gradual_anomalies(df: DataFrame, salt: int = 11, cap: int | None = None) -> DataFrame:
     """Subtle anomalies over runs of rows, labelling every touched row.
 
-    Per host min(200, n // 25) picks in [20, n - 20]; kinds: gradual cpu
+    Per host n // 25 picks (with ``cap`` at most that many; the reference's
+    trainers use ``GRADUAL_CAP``) in [20, n - 20]; kinds: gradual cpu
     (5 rows x U(1.1, 1.5), cap 95), memory leak (8 rows x U(1.05, 1.2), cap 98,
     memory_used_gb scaled too), disk fill (10 rows x U(1.02, 1.1), cap 99,
     disk_used_gb scaled too), mixed issue (cpu x 1.3 cap 85, memory x 1.2
@@ -143,14 +151,14 @@ def inject_gradual_anomalies(df: DataFrame, salt: int = 11) -> DataFrame:
     """
     base = df.drop(LABEL) if LABEL in df.columns else df
     pos = series.with_position(base).join(_host_sizes(base), HOST)
-    picks = _picks(pos, GRADUAL_SHARE, GRADUAL_CAP, GRADUAL_MARGIN, salt)
+    picks = _picks(pos, GRADUAL_SHARE, cap, GRADUAL_MARGIN, salt)
     kind = F.floor(unit_hash(F.col(SAMPLE), salt + 1) * len(GRADUAL_KINDS)).cast("int")
     picks = picks.select(HOST, F.col(RN).alias("_p"), F.col(SAMPLE).alias("_pid"),
                          F.col("_pick_rank"), kind.alias("_kind"))
     rows_of = F.element_at(F.array(*[F.lit(GRADUAL_RULES[k][0]) for k in GRADUAL_KINDS]), F.col("_kind") + 1)
     hits = picks.select("*", F.posexplode(F.sequence(F.col("_p"), F.col("_p") + rows_of - 1)).alias("_i", RN))
     # per-hit multipliers; one draw per (pick, offset) as in the reference
-    hid = F.col("_pid") * 16 + F.col("_i")
+    hid = F.concat_ws(":", F.col("_pid").cast("string"), F.col("_i").cast("string"))
     mult_cols = {}
     for metric in (CPU, MEM, DISK):
         e = F.lit(1.0)

@@ -143,23 +143,22 @@ def fill_gaps(df: DataFrame, cols: Sequence[str], order: str = "ffill,bfill,zero
           .getField("v").alias(f"_last_{i}") for i, c in enumerate(cols)],
         *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(RN), F.col(c).alias("v"))))
           .getField("v").alias(f"_first_{i}") for i, c in enumerate(cols)])
-    wc = Window.partitionBy(*keys).orderBy(CHUNK)
+    wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(
         *keys, CHUNK,
-        *[F.last(f"_last_{i}", ignorenulls=True).over(
-            wc.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cin_{i}")
-          for i in range(len(cols))],
-        *[F.first(f"_first_{i}", ignorenulls=True).over(
-            wc.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cout_{i}")
-          for i in range(len(cols))])
+        *[F.last(f"_last_{i}", ignorenulls=True).over(wc).alias(f"_cin_{i}") for i in range(len(cols))],
+        *[F.last(f"_first_{i}", ignorenulls=True).over(wb).alias(f"_cout_{i}") for i in range(len(cols))])
     j = df.join(carry, keys + [CHUNK])
-    w = series.series_window(keys)
+    # both directions run from the frame's start to the current row, which
+    # Spark updates row by row; a frame that ends at the partition's end is
+    # recomputed for every row
+    forth = series.series_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, CHUNK).orderBy(F.col(RN).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for i, c in enumerate(cols):
-        prev = F.coalesce(F.last(c, ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_cin_{i}"))
-        nxt = F.coalesce(F.first(c, ignorenulls=True).over(
-            w.rowsBetween(0, Window.unboundedFollowing)), F.col(f"_cout_{i}"))
+        prev = F.coalesce(F.last(c, ignorenulls=True).over(forth), F.col(f"_cin_{i}"))
+        nxt = F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_cout_{i}"))
         e = F.col(c)
         for s in steps:
             if s == "ffill":

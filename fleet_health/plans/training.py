@@ -21,8 +21,7 @@ _MD = ["cpu_percent", "memory_percent", "memory_used_gb", "memory_available_gb",
 
 def U(expr: str, salt: int) -> str:
     """SQL twin of ``labels.unit_hash``."""
-    return (f"(CAST(((CAST({expr} AS BIGINT) * 1103515245 + {salt * 12345 + 12345}) % 2147483648) AS DOUBLE)"
-            f" / 2147483648.0)")
+    return f"(CAST(CAST('0x' || substr(md5(CAST({expr} AS VARCHAR) || '|{salt}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)"
 
 
 POS_SQL = """pos AS (SELECT * EXCLUDE (is_anomaly), row_number() OVER (PARTITION BY host_id ORDER BY "timestamp", sample_id) AS rn,
@@ -63,7 +62,7 @@ LEFT JOIN (SELECT host_id, rn, count(*) AS hits FROM
 
 @query("inject_point_anomalies", sql=rounded(_L2_SQL, _MD))
 def q_inject_point_anomalies(spark, sf_dir):
-    return L.inject_point_anomalies(load_metrics(spark, sf_dir))
+    return L.inject_point_anomalies(load_metrics(spark, sf_dir), cap=L.POINT_CAP)
 
 
 # ------------------------------------------------------------------ L3
@@ -73,7 +72,7 @@ def _l3_factor(metric: str) -> str:
         for (mm, lo, hi, _cap, _used) in L.GRADUAL_RULES[k][1]:
             if mm == metric:
                 parts.append(f"WHEN kind = {ki} THEN {lo}::DOUBLE + {hi - lo}::DOUBLE * "
-                             f"{U('pid * 16 + i', 11 + 2 + ki)}")
+                             f"{U("pid || ':' || i", 11 + 2 + ki)}")
     return "CASE " + " ".join(parts) + " ELSE 1.0::DOUBLE END"
 
 
@@ -110,7 +109,7 @@ fac AS (SELECT h.host_id, h.rn, r.kind, product({_l3_factor('cpu_percent')}) AS
 
 @query("inject_gradual_anomalies", sql=rounded(_L3_SQL.replace("WHEN kind =", "WHEN h.kind ="), _MD))
 def q_inject_gradual_anomalies(spark, sf_dir):
-    return L.inject_gradual_anomalies(load_metrics(spark, sf_dir))
+    return L.inject_gradual_anomalies(load_metrics(spark, sf_dir), cap=L.GRADUAL_CAP)
 
 
 # ------------------------------------------------------------------ L4, L5, L6, L9, L11
