@@ -86,7 +86,8 @@ def q_select_top_features(spark, sf_dir):
     """131 enhanced features -> max(15, n // 3) = 43 by forest importance."""
     f = materialize(packs.features_enhanced(load_metrics(spark, sf_dir)))
     feats = [c for c in f.columns if c not in (HOST, SAMPLE, TS, LABEL)]
-    model = SV.weighted_forest(f, feats, num_trees=100, max_depth=10)
+    train, _ = _split(f)  # the features are chosen without the test rows
+    model = SV.weighted_forest(train, feats, num_trees=100, max_depth=10)
     keep = SV.select_top_features(model, feats)
     return spark.createDataFrame([(i, c) for i, c in enumerate(keep)], "position int, feature string")
 
@@ -214,7 +215,7 @@ def q_save_load_pipeline(spark, sf_dir):
     reload it and score with the reloaded copy."""
     f, feats = _robust(spark, sf_dir)
     train, test = _split(f)
-    model = SV.weighted_forest(train, feats, num_trees=20, max_depth=8)
+    model = SV.weighted_forest(train, feats, num_trees=100, max_depth=10)
     path = checkpoint_path(spark, f"models/detector-{os.getpid()}")
     SV.save_pipeline(model, path)
     again = SV.load_pipeline(path)
@@ -225,7 +226,9 @@ def q_save_load_pipeline(spark, sf_dir):
 @query("detector_leaderboard")
 def q_detector_leaderboard(spark, sf_dir):
     """Forest, forest on SMOTE, isolation forest, kernel novelty, LOF and
-    a two-member vote, evaluated on the same held-out rows, ranked by F1."""
+    a two-member vote, evaluated on the same held-out rows, ranked by F1.  The
+    unsupervised members are fitted on the training rows too; LOF has no model
+    and compares a row with its neighbours of both parts."""
     f, feats = _robust(spark, sf_dir)
     train, test = _split(f)
     rf = SV.score_batch(SV.weighted_forest(train, feats, num_trees=100, max_depth=10), test) \
@@ -233,9 +236,11 @@ def q_detector_leaderboard(spark, sf_dir):
     _, sm = SV.random_forest_on_smote(train, test, feats, ratio=0.1, k=2, num_trees=100, max_depth=10)
     sm = sm.select(SAMPLE, F.col("prediction").alias("random_forest_smote"))
     d = _detector_input(spark, sf_dir)
-    ifm = iforest.fit(d, [CPU, MEM, DISK], 100, 256)
-    iso = iforest.score(ifm, d, 0.06).select(SAMPLE, F.col("prediction").alias("isolation_forest"))
-    nov = novelty.kernel_novelty(d, d, [CPU, MEM, DISK], 0.06).select(
+    held = test.select(SAMPLE)
+    d_train, d_test = materialize(d.join(held, SAMPLE, "left_anti")), materialize(d.join(held, SAMPLE, "left_semi"))
+    ifm = iforest.fit(d_train, [CPU, MEM, DISK], 100, 256)
+    iso = iforest.score(ifm, d_test, 0.06).select(SAMPLE, F.col("prediction").alias("isolation_forest"))
+    nov = novelty.kernel_novelty(d_train, d_test, [CPU, MEM, DISK], 0.06).select(
         SAMPLE, F.col("is_novel").cast("int").alias("kernel_novelty"))
     pts = d.select(HOST, SAMPLE, (F.col(CPU) / 100).alias("a"), (F.col(MEM) / 100).alias("b"),
                    (F.col(DISK) / 100).alias("c"))

@@ -164,10 +164,12 @@ def q_stream_alert_cooldown(spark, sf_dir):
 # ------------------------------------------------------------------ T3
 @query("stream_score")
 def q_stream_score(spark, sf_dir):
-    """Micro-batch scoring with a forest fitted on the table (foreachBatch)."""
+    """Micro-batch scoring (foreachBatch) with a forest fitted on the
+    training 70 % of the table."""
     mt = load_metrics(spark, sf_dir)
     feats = [CPU, MEM, DISK]
-    model = SV.weighted_forest(materialize(mt), feats, num_trees=20, max_depth=8)
+    train = materialize(L.stratified_split(mt, 0.3, 42)).filter(~F.col("is_test")).drop("is_test")
+    model = SV.weighted_forest(train, feats, num_trees=100, max_depth=10)
     src = _files(spark, mt, "score")
     sink, ck = _scratch(spark, "score_sink"), _scratch(spark, "score_ckpt")
     ST.stream_score(ST.file_stream(spark, src, mt.schema), model, sink, ck)

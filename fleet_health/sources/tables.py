@@ -45,8 +45,12 @@ def latest_sample(df: DataFrame) -> DataFrame:
 def metrics_history(df: DataFrame, hours: int = 24, cap: int = 288,
                     now=None) -> DataFrame:
     """Rows newer than now - ``hours`` (now = newest timestamp of the table
-    unless given), at most the newest ``cap`` per host, oldest first."""
+    unless given), at most the newest ``cap`` per host, oldest first.  On the
+    table that ``append_metrics`` writes, the day partitions are filtered too."""
     # "now" is a scalar subquery: computed once, then a literal in the filter
     now_col = df.agg(F.max(TS)).scalar() if now is None else F.lit(now)
-    recent = df.filter(F.col(TS) > now_col - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    since = now_col - F.expr(f"INTERVAL {int(hours)} HOURS")
+    recent = df.filter(F.col(TS) > since)
+    if "date" in df.columns:
+        recent = recent.filter(F.col("date") >= F.to_date(since))
     return last_n_per_host(recent, cap, "_r").drop("_r")

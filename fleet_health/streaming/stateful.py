@@ -43,7 +43,7 @@ def write_time_ordered_files(df: DataFrame, path: str, n_files: int = 6) -> list
         if i < n_files - 1:
             cond = cond & (F.col(TS) < F.lit(lo + span * (i + 1)))
         part = os.path.join(path, f"part{i:02d}")
-        df.filter(cond).coalesce(1).write.mode("overwrite").parquet(part)
+        df.filter(cond).write.mode("overwrite").parquet(part)
         out.append(part)
     return out
 
@@ -88,59 +88,71 @@ def buffer_output_schema() -> T.StructType:
                            for c in TEMPORAL_COLUMNS])
 
 
-def _features_of_newest(buf: pd.DataFrame) -> dict:
-    """K4 features for the last row of the buffer (same definitions as the
-    batch pack: trailing 5 rows, sample std, roc 0 for a zero base)."""
-    last = buf.iloc[-1]
-    tail = buf.iloc[-5:]
-    out = {c: float(last[c]) for c in METRIC_COLUMNS}
-    ts = pd.Timestamp(last["ts"], unit="us")
-    hour = ts.hour
-    out.update(hour=hour, day_of_week=ts.weekday(), is_weekend=int(ts.weekday() >= 5),
-               hour_sin=float(np.sin(2 * np.pi * hour / 24.0)), hour_cos=float(np.cos(2 * np.pi * hour / 24.0)))
+def _window_features(ts: np.ndarray, values: dict, first: int) -> dict:
+    """K4 features of rows ``first`` .. of one host's series (same definitions
+    as the batch pack: trailing 5 rows, sample std, roc 0 for a zero base)."""
+    when = pd.DatetimeIndex(ts[first:].astype("datetime64[us]"))
+    out = {c: values[c][first:] for c in METRIC_COLUMNS}
+    out.update(hour=when.hour, day_of_week=when.weekday, is_weekend=(when.weekday >= 5).astype("int32"),
+               hour_sin=np.sin(2 * np.pi * when.hour / 24.0), hour_cos=np.cos(2 * np.pi * when.hour / 24.0))
     for c in BASE_FEATURES:
-        v = tail[c].astype("float64")
-        prev = float(buf[c].iloc[-2]) if len(buf) > 1 else None
-        roc = 0.0 if prev in (None, 0.0) or np.isnan(prev) else (float(last[c]) - prev) / prev
-        out.update({f"{c}_rolling_mean_5": float(v.mean()), f"{c}_rolling_std_5": float(v.std(ddof=1)),
-                    f"{c}_rolling_min_5": float(v.min()), f"{c}_rolling_max_5": float(v.max()),
+        w = pd.DataFrame(np.lib.stride_tricks.sliding_window_view(values[c], 5)[first - 4:])
+        last, prev = values[c][first:], values[c][first - 1:-1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            roc = np.where((prev == 0.0) | np.isnan(prev), 0.0, (last - prev) / prev)
+        out.update({f"{c}_rolling_mean_5": w.mean(axis=1).to_numpy(), f"{c}_rolling_std_5": w.std(axis=1, ddof=1).to_numpy(),
+                    f"{c}_rolling_min_5": w.min(axis=1).to_numpy(), f"{c}_rolling_max_5": w.max(axis=1).to_numpy(),
                     f"{c}_roc": roc})
-    cpu, mem, disk = float(last[CPU]), float(last[MEM]), float(last[DISK])
+    cpu, mem, disk = (values[c][first:] for c in (CPU, MEM, DISK))
     out.update(cpu_memory_ratio=cpu / (mem + 1.0), system_load_index=cpu * 0.6 + mem * 0.3 + disk * 0.1,
-               resource_pressure=int(cpu > 80) + int(mem > 80) + int(disk > 80))
+               resource_pressure=(cpu > 80).astype("int32") + (mem > 80) + (disk > 80))
     return out
 
 
-def _buffer_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    host = int(key[0])
-    if state.exists:
-        st = state.get
-        buf = pd.DataFrame({"ts": list(st[0]), "ids": list(st[1]),
-                            **{c: list(st[2 + i]) for i, c in enumerate(METRIC_COLUMNS)}})
-    else:
-        buf = pd.DataFrame({"ts": [], "ids": [], **{c: [] for c in METRIC_COLUMNS}})
-    new = pd.concat(list(pdfs), ignore_index=True)
-    new = new.assign(ts=new[TS].astype("datetime64[us]").astype("int64"), ids=new[SAMPLE]) \
-             .sort_values(["ts", "ids"])
-    rows = []
-    for _, r in new.iterrows():
-        buf = pd.concat([buf, pd.DataFrame([{"ts": r["ts"], "ids": r["ids"],
-                                             **{c: r[c] for c in METRIC_COLUMNS}}])], ignore_index=True)
-        buf = buf.iloc[-BUFFER_SIZE:].reset_index(drop=True)
-        if len(buf) >= SEQUENCE_MIN:
-            f = _features_of_newest(buf)
-            rows.append({HOST: host, SAMPLE: int(r["ids"]), TS: pd.Timestamp(int(r["ts"]), unit="us"), **f})
-    state.update((buf["ts"].astype("int64").tolist(), buf["ids"].astype("int64").tolist(),
-                  *[buf[c].astype("float64").tolist() for c in METRIC_COLUMNS]))
-    if rows:
-        yield pd.DataFrame(rows)[[f.name for f in buffer_output_schema().fields]]
-
-
-def stream_buffer_features(stream: DataFrame) -> DataFrame:
+def _sorted_batch(pdfs: Iterator[pd.DataFrame], columns) -> tuple[np.ndarray, np.ndarray, dict]:
+    """One host's new samples of a micro-batch in event order, as arrays."""
+    parts = [(p[TS].astype("datetime64[us]").astype("int64").to_numpy(), p[SAMPLE].to_numpy(),
+              {c: p[c].to_numpy(dtype="float64", na_value=np.nan) for c in columns}) for p in pdfs]
+    ts, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.lexsort((ids, ts))
+    return ts[order], ids[order], {c: np.concatenate([p[2][c] for p in parts])[order] for c in columns}
+
+
+def make_buffer_fn(idle_ms: int | None = None):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:  # a silent host: its buffer goes
+            state.remove()
+            return
+        ts, ids, values = _sorted_batch(pdfs, METRIC_COLUMNS)
+        old = 0
+        if state.exists:
+            st = state.get
+            old = len(st[0])
+            ts, ids = np.concatenate([np.array(st[0], "int64"), ts]), np.concatenate([np.array(st[1], "int64"), ids])
+            values = {c: np.concatenate([np.array(st[2 + i], "float64"), values[c]]) for i, c in enumerate(METRIC_COLUMNS)}
+        state.update((ts[-BUFFER_SIZE:].tolist(), ids[-BUFFER_SIZE:].tolist(),
+                      *[values[c][-BUFFER_SIZE:].tolist() for c in METRIC_COLUMNS]))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        first = max(old, SEQUENCE_MIN - 1)
+        if first < len(ts):
+            out = {HOST: np.full(len(ts) - first, int(key[0])), SAMPLE: ids[first:], TS: ts[first:].astype("datetime64[us]"),
+                   **_window_features(ts, values, first)}
+            yield pd.DataFrame(out)[[f.name for f in buffer_output_schema().fields]]
+    return fn
+
+
+def _timeout(idle_ms: int | None):
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def stream_buffer_features(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Per-host buffer of the last 20 samples; K4 features for each new
-    sample once 10 are buffered."""
+    sample once 10 are buffered.  A host that is silent for ``idle_ms`` of
+    processing time loses its buffer (None: never).  A host's rows of one
+    micro-batch are held together; ``maxFilesPerTrigger`` bounds them."""
     return stream.groupBy(HOST).applyInPandasWithState(
-        _buffer_fn, buffer_output_schema(), BUFFER_STATE, "append", GroupStateTimeout.NoTimeout)
+        make_buffer_fn(idle_ms), buffer_output_schema(), BUFFER_STATE, "append", _timeout(idle_ms))
 
 
 # ------------------------------------------------------------------ T5/T6
@@ -155,57 +167,69 @@ def alert_output_schema() -> T.StructType:
 
 
 def make_alert_fn(cooldown_seconds: float, threshold: int = CONSECUTIVE_THRESHOLD,
-                  gate_before_count: bool = False, p_col: str = "anomaly_probability"):
+                  gate_before_count: bool = False, p_col: str = "anomaly_probability", idle_ms: int | None = None):
     cool_us = int(cooldown_seconds * 1_000_000)
 
     def fn(key, pdfs, state):
-        host = int(key[0])
+        if state.hasTimedOut:
+            state.remove()
+            return
         cnt, last = (int(state.get[0]), state.get[1]) if state.exists else (0, None)
-        new = pd.concat(list(pdfs), ignore_index=True)
-        new = new.assign(_ts=new[TS].astype("datetime64[us]").astype("int64")).sort_values(["_ts", SAMPLE])
-        out = []
-        for _, r in new.iterrows():
-            p, ts = float(r[p_col]), int(r["_ts"])
+        ts, ids, values = _sorted_batch(pdfs, [p_col])
+        picked = []  # (place, count): the fold is sequential, over plain numbers
+        for i, (p, t) in enumerate(zip(values[p_col].tolist(), ts.tolist())):
             if gate_before_count and not p > ALERT_ABOVE:
                 continue
             if p < RESET_BELOW:
                 cnt = 0
                 continue
             cnt += 1
-            if last is not None and ts - int(last) < cool_us:
+            if last is not None and t - int(last) < cool_us:
                 continue
             if p > ALERT_ABOVE and (cnt >= threshold or p > HIGH_ABOVE):
-                last = ts
-                out.append({HOST: host, SAMPLE: int(r[SAMPLE]), TS: pd.Timestamp(ts, unit="us"),
-                            "anomaly_probability": p, "consecutive": cnt,
-                            "level": "CRITICAL" if p > HIGH_ABOVE else "WARNING"})
+                last = t
+                picked.append((i, cnt))
         state.update((cnt, last))
-        if out:
-            yield pd.DataFrame(out)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        if picked:
+            at = np.array([i for i, _ in picked])
+            p = values[p_col][at]
+            yield pd.DataFrame({HOST: int(key[0]), SAMPLE: ids[at], TS: ts[at].astype("datetime64[us]"),
+                                "anomaly_probability": p, "consecutive": [c for _, c in picked],
+                                "level": np.where(p > HIGH_ABOVE, "CRITICAL", "WARNING")})
     return fn
 
 
-def stream_alert_cooldown(stream: DataFrame, cooldown_seconds: float = 300.0, **kw) -> DataFrame:
+def stream_alert_cooldown(stream: DataFrame, cooldown_seconds: float = 300.0, idle_ms: int | None = None, **kw) -> DataFrame:
     """T5 + T6 as keyed state: consecutive count and last emitted alert time
-    per host; identical emissions to the batch ``alerts.alert_cooldown``."""
+    per host; identical emissions to the batch ``alerts.alert_cooldown``.  A
+    host silent for ``idle_ms`` of processing time starts anew (None: never)."""
     return stream.groupBy(HOST).applyInPandasWithState(
-        make_alert_fn(cooldown_seconds, **kw), alert_output_schema(), ALERT_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+        make_alert_fn(cooldown_seconds, idle_ms=idle_ms, **kw), alert_output_schema(), ALERT_STATE, "append",
+        _timeout(idle_ms))
 
 
 # ------------------------------------------------------------------ T3
-def stream_score(stream: DataFrame, model, sink: str, checkpoint: str) -> None:
-    """Score each micro-batch with a fitted pipeline (foreachBatch); a
-    failing batch is recorded with p = 0 and no anomaly, as the reference
-    does for a scoring error."""
+def score_rows(model, batch: DataFrame) -> DataFrame:
+    """Scores of a batch; a row whose features can't be scored (NULL or NaN)
+    gets p = 0 and no anomaly, as the reference does for a scoring error."""
     from ..models.supervised import score_batch
 
+    ok = F.lit(True)
+    for c in model.stages[0].getInputCols():
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return score_batch(model, batch.filter(ok)).unionByName(
+        batch.filter(~ok).withColumn("anomaly_probability", F.lit(0.0)).withColumn("prediction", F.lit(0)))
+
+
+def stream_score(stream: DataFrame, model, sink: str, checkpoint: str) -> None:
+    """Score each micro-batch with a fitted pipeline (foreachBatch).  An
+    epoch writes its own folder and overwrites it, so a batch that is tried
+    again leaves its rows once; an error fails the query."""
+
     def each(batch: DataFrame, epoch: int):
-        try:
-            out = score_batch(model, batch)
-        except Exception:  # noqa: BLE001 - scoring error -> (False, 0.0)
-            out = batch.withColumn("anomaly_probability", F.lit(0.0)).withColumn("prediction", F.lit(0))
-        out.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(sink)
+        score_rows(model, batch).write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
 
     (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
