@@ -86,21 +86,23 @@ def with_position(df: DataFrame, bucket: str | None = None, keys=(HOST,),
                .drop(_BUCKET, _OFFSET))
 
 
-def global_position(df: DataFrame, order, name: str = RN) -> DataFrame:
+def global_position(df: DataFrame, order, name: str = RN, weight: str | None = None) -> DataFrame:
     """Add ``name``: the exact 1-based position of each row in ``order`` over
-    the whole table.  Rows are dealt over range partitions of ``order``, which
+    the whole table (with ``weight``, a column of row counts: that of its last).  Rows are dealt over range partitions of ``order``, which
     Spark balances by sampling whatever the values' distribution; counts of the
     partitions (one row each) give the offsets.  ``order`` must tell rows apart
     for one value not to fill a partition alone."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = materialize(df.repartitionByRange(parts, *cols).withColumn(_BUCKET, F.spark_partition_id()))
-    counts = held.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    one = F.col(weight) if weight else F.lit(1).cast("long")
+    counts = held.groupBy(_BUCKET).agg(F.sum(one).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_BUCKET, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_OFFSET))
     w = Window.partitionBy(_BUCKET).orderBy(*cols)
+    inside = F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(w)
     return (held.join(F.broadcast(offsets), _BUCKET)  # one row per partition
-            .withColumn(name, F.col(_OFFSET) + F.row_number().over(w)).drop(_BUCKET, _OFFSET))
+            .withColumn(name, F.col(_OFFSET) + inside).drop(_BUCKET, _OFFSET))
 
 
 def with_chunks(df: DataFrame, lookback: int = 0, lookahead: int = 0,

@@ -471,6 +471,12 @@ def q_features_forecast(spark, sf_dir):
     return packs.features_forecast(load_metrics(spark, sf_dir), 72)
 
 
+@query("features_forecast_12", sql=_k5_sql(h=12))
+def q_features_forecast_12(spark, sf_dir):
+    """K5 at a horizon of 12 rows, which more hosts of the small tables reach."""
+    return packs.features_forecast(load_metrics(spark, sf_dir), 12)
+
+
 def _k6_cols():
     cols = _cal() + [(CPU_S, CPU_S), (MEM_S, MEM_S), (DISK_S, DISK_S)]
     cols += [(Q.mean(CPU_S, 12), "cpu_rolling_mean_12"), (Q.std(CPU_S, 12), "cpu_rolling_std_12"),
