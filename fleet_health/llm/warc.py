@@ -141,41 +141,56 @@ class _Archive:
             names=["archive", "blocks", "first_key", "last_key", "offset", "length", "entries"])
 
 
-def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-             min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``key``, ``id``, ``url``, ``type``, ``payload`` (null for revisits),
-    ``digest``, ``refers_to``."""
+def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     html = F.coalesce(F.col(html_col), F.lit(""))
-    p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.cast("binary").alias("payload"),
-                     F.sha2(html, 256).alias("digest"))
+    return pages.select(url_key(F.col(url_col)).alias("key"), F.col(id_col).alias("id"), F.col(url_col).alias("url"),
+                        html.alias("html"), F.sha2(html, 256).alias("digest"))
+
+
+def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+             min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """The records that are revisits: ``key``, ``id``, ``digest``, ``refers_to``.
+    Payloads are read for their digests but not moved."""
+    p = _pages(pages, id_col, url_col, html_col).filter(F.octet_length("html") >= min_revisit).select("key", "id", "digest")
     # a payload that a third of all pages share meets in the partial aggregate
-    first = (p.filter(F.octet_length("payload") >= min_revisit).groupBy("digest")
-             .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"))
-    p = p.join(first, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return p.select(url_key(F.col("url")).alias("key"), "id", "url", F.when(again, "revisit").otherwise("response").alias("type"),
-                    F.when(~again, F.col("payload")).alias("payload"), "digest", F.when(again, F.col("first")).alias("refers_to"))
+    first = p.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return p.join(first, "digest").filter(~F.col("id").eqNullSafe(F.col("refers_to"))).select("key", "id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", archives: int | None = None, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write ``pages`` below ``folder`` (default: a new one in the shared
-    folder) and return it; its directory is ``<folder>/directory``."""
+    folder) and return it; its directory is ``<folder>/directory``.
+
+    Payloads are shuffled once, into ranges of (key, id, digest).  What is known
+    of the revisits goes the same way: a marker row sorts just before the rows
+    it is about, and the writer turns those into revisits."""
     spark = pages.sparkSession
     folder = folder or work_dir(spark, "warc")
     archives = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    c = captures(pages, id_col, url_col, html_col).select(
-        "key", "id", F.col("id").cast("string").alias("sid"), "url", "type", "payload", "digest", F.col("refers_to").cast("string").alias("refers"))
-    c = (c.repartitionByRange(archives, "key", F.col("id").isNull(), "id")
-         .sortWithinPartitions("key", F.col("id").isNull(), "id").drop("id"))
+    marks = stored(revisits(pages, id_col, url_col, html_col), "revisits")
+    text = "string"
+    rows = _pages(pages, id_col, url_col, html_col).select(
+        "key", "id", "digest", F.lit(True).alias("is_page"), F.col("id").cast(text).alias("sid"), "url",
+        F.col("html").cast("binary").alias("payload"), F.lit(None).cast(text).alias("refers"))
+    marks = marks.select("key", "id", "digest", F.lit(False).alias("is_page"), F.col("id").cast(text).alias("sid"),
+                         F.lit(None).cast(text).alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("refers_to").cast(text).alias("refers"))
+    order = ["key", F.col("id").isNull(), "id", "digest"]
+    c = rows.unionByName(marks).repartitionByRange(archives, *order).sortWithinPartitions(*order, "is_page")
+    c = c.select("key", "sid", "digest", "is_page", "url", "payload", "refers")
 
     def run(batches):
-        w = None
+        w, mark = None, None
         for b in batches:
             for r in range(b.num_rows):
-                key, id, url, kind, payload, digest, refers = (b.column(i)[r].as_py() for i in range(7))
+                key, id, digest, is_page, url, payload, refers = (b.column(i)[r].as_py() for i in range(7))
+                if not is_page:
+                    mark = ((key, id, digest), refers)
+                    continue
+                again = mark is not None and mark[0] == (key, id, digest)
+                kind = "revisit" if again else "response"
                 w = w or _Archive(folder)
-                w.add(key, id, kind, record_bytes(id, url, kind, payload, digest, refers))
+                w.add(key, id, kind, record_bytes(id, url, kind, payload, digest, mark[1] if again else None))
                 if w.at >= archive_bytes:
                     yield w.close()
                     w = None
