@@ -12,8 +12,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_CHARS = 400_000
+CHUNK_ROWS = 4096
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 SPACES = (9, 10, 11, 12, 13, 32)
@@ -61,18 +64,17 @@ def _powers(n: int) -> tuple:
     return got
 
 
-def chunked(texts: list, limit: int = CHUNK_CHARS):
-    """Ranges (lo, hi) of ``texts`` of about ``limit`` characters; one longer
-    text is a range of its own."""
+def chunked(column: pa.Array, chars: int = CHUNK_CHARS, rows: int = CHUNK_ROWS):
+    """(lo, hi, texts) of a string column without nulls, in chunks of at most
+    ``rows`` texts and about ``chars`` characters; one longer text is a chunk of
+    its own.  Only a chunk's texts are Python strings at a time."""
     lo, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t)
-        if i > lo and size + n > limit:
-            yield lo, i
+    sizes = pc.utf8_length(column).to_pylist()
+    for i, n in enumerate([*sizes, None]):
+        if i > lo and (n is None or size + n > chars or i - lo >= rows):
+            yield lo, i, column.slice(lo, i - lo).to_pylist()
             lo, size = i, 0
-        size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += n or 0
 
 
 def code_points(texts: list) -> tuple[np.ndarray, np.ndarray]:

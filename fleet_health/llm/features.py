@@ -24,6 +24,7 @@ from .arrays import Hasher, chunked, code_points, is_space, mix, words
 DIM = 1 << 15
 GROUPS = 5
 SCALE = 30.0
+BLOCK = 250_000  # positions worked off at a time
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 # fixed values of the contract
 SYMBOLS = "#*$%&|<>"
@@ -95,22 +96,19 @@ class Texts:
                 "n_repeat_words": each(text[inside])}
 
     def ngrams(self):
-        """For each group (text number, place) of every n-gram."""
+        """(group, text number, place) of every n-gram, in blocks of bounded size."""
         low = Hasher(self.cp, lower=True).of(self.start, self.end)
-        yield self.text, (mix(low + _ODD[1]) % np.uint64(DIM)).astype(np.int64)
+        yield 0, self.text, (mix(low + _ODD[1]) % np.uint64(DIM)).astype(np.int64)
         two = _runs_within(self.text, 2)
-        yield self.text[two], (mix(low[two] * _ODD[2] + low[two + 1]) % np.uint64(DIM)).astype(np.int64)
-        for size in (3, 5):
-            m = len(self.cp) - size + 1
-            if m <= 0:
-                yield np.zeros(0, np.int64), np.zeros(0, np.int64)
-                continue
-            at = np.arange(m)
-            owner = np.repeat(np.arange(self.n), np.diff(self.bounds))
-            ok = owner[:m] == owner[size - 1:]
-            at = at[ok]
-            yield owner[at], (self.plain.of(at, at + size) & np.uint64(DIM - 1)).astype(np.int64)
-        yield self.shape()
+        yield 1, self.text[two], (mix(low[two] * _ODD[2] + low[two + 1]) % np.uint64(DIM)).astype(np.int64)
+        for g, size in ((2, 3), (3, 5)):
+            for lo in range(0, len(self.cp) - size + 1, BLOCK):
+                at = np.arange(lo, min(lo + BLOCK, len(self.cp) - size + 1))
+                owner = np.searchsorted(self.bounds, at, side="right") - 1
+                ok = at + size <= self.bounds[owner + 1]
+                at, owner = at[ok], owner[ok]
+                yield g, owner, (self.plain.of(at, at + size) & np.uint64(DIM - 1)).astype(np.int64)
+        yield 4, *self.shape()
 
     def shape(self):
         c, n, cp = self.counts, self.n, self.cp
@@ -136,12 +134,11 @@ class Linear:
     shift: float = 0.0
 
     def margin(self, t: Texts) -> np.ndarray:
-        z = np.full(t.n, float(self.bias))
-        for g, (owner, place) in enumerate(t.ngrams()):
-            count = np.bincount(owner, minlength=t.n)
-            w = self.weights[g * DIM:(g + 1) * DIM]
-            z += SCALE * np.bincount(owner, weights=w[place], minlength=t.n) / np.maximum(count, 1)
-        return z
+        count, total = np.zeros((GROUPS, t.n)), np.zeros((GROUPS, t.n))
+        for g, owner, place in t.ngrams():
+            count[g] += np.bincount(owner, minlength=t.n)
+            total[g] += np.bincount(owner, weights=self.weights[g * DIM + place], minlength=t.n)
+        return self.bias + SCALE * (total / np.maximum(count, 1)).sum(axis=0)
 
     def score(self, t: Texts) -> np.ndarray:
         return sigmoid(self.slope * self.margin(t) + self.shift)
@@ -154,26 +151,28 @@ def sigmoid(z):
 def sparse_rows(labelled: DataFrame) -> DataFrame:
     """``labelled`` (``text``, ``y`` and ``fold``) to the rows' features
     (``y``, ``fold``, ``place``, ``value``)."""
+    dims = GROUPS * DIM
 
     def run(batches):
         for b in batches:
-            all_texts = b.column("text").to_pylist()
-            for lo, hi in chunked(all_texts):
-                t = Texts(all_texts[lo:hi])
-                owners, places, values = [], [], []
-                for g, (owner, place) in enumerate(t.ngrams()):
-                    key, count = np.unique(owner * DIM + place, return_counts=True)
-                    total = np.maximum(np.bincount(owner, minlength=t.n), 1)
-                    owners.append(key // DIM)
-                    places.append(key % DIM + g * DIM)
-                    values.append(SCALE * count / total[key // DIM])
-                owner = np.concatenate(owners)
-                order = np.argsort(owner, kind="stable")
+            for lo, hi, texts in chunked(b.column("text")):
+                t = Texts(texts)
+                count = np.zeros((GROUPS, t.n))
+                keys, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for g, owner, place in t.ngrams():
+                    count[g] += np.bincount(owner, minlength=t.n)
+                    k, n = np.unique(owner * dims + g * DIM + place, return_counts=True)
+                    keys.append(k)
+                    numbers.append(n)
+                key, at = np.unique(np.concatenate(keys), return_inverse=True)
+                number = np.bincount(at, weights=np.concatenate(numbers), minlength=len(key))
+                owner, place = key // dims, key % dims
+                value = SCALE * number / np.maximum(count[place // DIM, owner], 1)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=t.n))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("y").slice(lo, hi - lo), b.column("fold").slice(lo, hi - lo),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places)[order].astype(np.int32))),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)[order].astype(np.float32)))],
+                     pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
+                     pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))],
                     names=["y", "fold", "place", "value"])
 
     return labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int"), F.col("fold").cast("int")).mapInArrow(
@@ -192,45 +191,55 @@ class Sample:
             size.append(np.diff(p.offsets.to_numpy()))
             place.append(p.flatten().to_numpy())
             value.append(b.column("value").flatten().to_numpy())
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        cat = lambda x, kind: np.concatenate(x).astype(kind, copy=False) if x else np.zeros(0, kind)
         self.y, self.fold = cat(y, np.int64), cat(fold, np.int64)
-        self.row = np.repeat(np.arange(len(self.y)), cat(size, np.int64)).astype(np.int32)
+        self.ends = np.concatenate([[0], np.cumsum(cat(size, np.int64))])
         self.place, self.value = cat(place, np.int32), cat(value, np.float32)
 
-    def margin(self, w: np.ndarray, bias: float) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.place] * self.value, minlength=len(self.y)) + bias
+    def features(self, own: np.ndarray):
+        """(row number within ``own``, place, value) of some rows."""
+        size = self.ends[own + 1] - self.ends[own]
+        row = np.repeat(np.arange(len(own)), size)
+        take = np.arange(len(row)) + np.repeat(self.ends[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        return row, self.place[take], self.value[take]
 
     def batches(self, rows: int):
-        """Row ranges in a mixed but fixed order, with their features."""
+        """Rows in a mixed but fixed order."""
         order = np.random.default_rng(7).permutation(len(self.y))
-        ends = np.searchsorted(self.row, np.arange(len(self.y) + 1))
-        for lo in range(0, len(order), rows):
-            own = order[lo:lo + rows]
-            take = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in own])
-            yield own, np.repeat(np.arange(len(own)), ends[own + 1] - ends[own]), self.place[take], self.value[take]
+        return [order[lo:lo + rows] for lo in range(0, len(order), rows)]
+
+    def margins(self, w: np.ndarray, bias: float) -> np.ndarray:
+        z = np.zeros(len(self.y))
+        for own in self.batches(256):
+            row, place, value = self.features(own)
+            z[own] = np.bincount(row, weights=w[place] * value, minlength=len(own)) + bias
+        return z
 
 
 def descend(sample: Sample, gradient, epochs: int, rows: int = 256, rate: float = 0.05, l2: float = 1e-6):
-    """Adam on (weights, bias) over batches of rows; ``gradient(margins, own)``
-    gives the margin gradient of the sample's rows ``own``."""
+    """Adam on (weights, bias) over batches of rows, with a rate that falls to 0;
+    ``gradient(margins, own)`` gives the margin gradient of the sample's rows ``own``."""
     w, b = np.zeros(GROUPS * DIM), 0.0
     m1, m2, c1, c2, i = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
-    parts = list(sample.batches(rows))
-    for _ in range(epochs):
-        for own, row, place, value in parts:
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        for own in sample.batches(rows):
+            row, place, value = sample.features(own)
             i += 1
             g = gradient(np.bincount(row, weights=w[place] * value, minlength=len(own)) + b, own)
             gw, gb = np.bincount(place, weights=g[row] * value, minlength=GROUPS * DIM) + l2 * w, g.sum()
             m1, m2 = 0.9 * m1 + 0.1 * gw, 0.99 * m2 + 0.01 * gw * gw
             c1, c2 = 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
             f1, f2 = 1 - 0.9 ** i, 1 - 0.99 ** i
-            w -= rate * (m1 / f1) / (np.sqrt(m2 / f2) + 1e-8)
-            b -= rate * (c1 / f1) / (np.sqrt(c2 / f2) + 1e-8)
+            w -= step * (m1 / f1) / (np.sqrt(m2 / f2) + 1e-8)
+            b -= step * (c1 / f1) / (np.sqrt(c2 / f2) + 1e-8)
     return w, b
 
 
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift that calibrate margins (Newton steps; smoothed targets)."""
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift that calibrate margins (Newton steps; smoothed targets);
+    ``weight`` gives each row's."""
+    weight = np.ones(len(z)) if weight is None else weight
     pos, neg = (y == 1).sum(), (y == 0).sum()
     if not pos or not neg:
         return 1.0, 0.0
@@ -239,8 +248,8 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     v = np.array([1.0 / max(z.std(), 1e-6), 0.0])
     for _ in range(steps):
         p = sigmoid(x @ v)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - t) + 1e-3 * v)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (p - t)) + 1e-3 * v)
         v = v - step / max(1.0, np.abs(step).max())
     return float(max(v[0], 1e-3)), float(v[1])
 

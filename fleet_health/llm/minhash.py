@@ -180,9 +180,8 @@ def band_table(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int =
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in chunked(texts):
-                t, s, c = shingles(texts[lo:hi], n)
+            for lo, hi, texts in chunked(b.column("text")):
+                t, s, c = shingles(texts, n)
                 m = hi - lo
                 w = c.astype(np.float64) if counted else np.ones(len(s))
                 sig = signatures(t, s, w, m, k)
@@ -203,9 +202,8 @@ def shingle_sets(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            all_texts = b.column("text").to_pylist()
-            for lo, hi in chunked(all_texts):
-                t, s, _ = shingles(all_texts[lo:hi], n)
+            for lo, hi, part in chunked(b.column("text")):
+                t, s, _ = shingles(part, n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("node").slice(lo, hi - lo), _lists(s.view(np.int64), np.bincount(t, minlength=hi - lo))],
                     names=["node", "set"])

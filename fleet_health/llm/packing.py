@@ -189,10 +189,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col:
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for lo, hi in chunked(texts, CHUNK_CHARS):
+            ids = b.column(0)
+            for lo, _, texts in chunked(b.column(1), CHUNK_CHARS):
                 at, start, length, crc, total = [], [], [], [], []
-                for i, got in enumerate(enc.batch(texts[lo:hi])):
+                for i, got in enumerate(enc.batch(texts)):
                     got = np.append(got, np.uint32(SEPARATOR)).astype("<u4")
                     for s in range(0, len(got), window):
                         piece = got[s:s + window]

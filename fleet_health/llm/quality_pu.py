@@ -9,7 +9,7 @@ minimises the non-negative unbiased risk
 
 with the logistic loss: where the second part falls below zero, its gradient is
 reversed, so the model cannot overfit the positives among the unlabelled.  The
-labelled rows of one fold then set the probability scale (Platt).
+labelled rows that the risk has not seen then set the probability scale (Platt).
 
 Labels are only read of rows whose crc32(id as text) mod 5 is not 0, and such
 held-out rows are not in the unlabelled set.  Scores depend on the text alone.
@@ -35,7 +35,8 @@ from .common import stored, text_of
 from .features import Linear, Texts, bounded, descend, fitted, model_row, platt, sigmoid, sparse_rows
 
 TRAIN_ROWS = 2500
-EPOCHS = 12
+EPOCHS = 30
+RATE = 0.1
 THRESHOLD = 0.3
 HELD_OUT, FOLDS = 0, 5
 UNLABELLED = 2
@@ -63,11 +64,12 @@ def _fit(prior: float):
         positive, unlabelled = (s.y == 1) & learn, s.y == UNLABELLED
         if not positive.any():
             return None
-        w, b = descend(s, lambda z, own: nn_pu_gradient(z, positive[own], unlabelled[own], prior), EPOCHS)
-        scale = (s.y != UNLABELLED) & ~learn
-        if len(set(s.y[scale].tolist())) < 2:
-            scale = s.y != UNLABELLED
-        return model_row(w, b, *platt(s.margin(w, b)[scale], s.y[scale]))
+        w, b = descend(s, lambda z, own: nn_pu_gradient(z, positive[own], unlabelled[own], prior), EPOCHS, rate=RATE)
+        # labelled rows that the risk has not seen: all negatives, and the positives left out, for all positives
+        left_out = (s.y == 1) & ~learn
+        scale = (s.y == 0) | (left_out if left_out.any() else s.y == 1)
+        weight = np.where(s.y == 1, (s.y == 1).sum() / max((scale & (s.y == 1)).sum(), 1), 1.0)
+        return model_row(w, b, *platt(s.margins(w, b)[scale], s.y[scale], weight[scale]))
     return fit
 
 
@@ -100,9 +102,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
 
     def run(batches):
         for b in batches:
-            all_texts = b.column("text").to_pylist()
-            for lo, hi in chunked(all_texts):
-                t = Texts(all_texts[lo:hi])
+            for lo, hi, texts in chunked(b.column("text")):
+                t = Texts(texts)
                 p = model.score(t) if model else np.full(t.n, prior)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(p)], names=["doc_id", "score"])
 

@@ -31,7 +31,7 @@ from .common import Masked, stored, text_of
 from .features import Linear, Texts, bounded, descend, fitted, model_row, platt, sigmoid, sparse_rows
 
 TRAIN_ROWS = 2500
-EPOCHS = 12
+EPOCHS = 16
 THRESHOLD = 0.5
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -56,7 +56,7 @@ def _fit(s):
     if len(set(s.y[train].tolist())) < 2:
         train[:] = True
     w, b = descend(s, lambda z, own: np.where(train[own], sigmoid(z) - s.y[own], 0.0) / len(own), EPOCHS)
-    z, out = s.margin(w, b), ~train
+    z, out = s.margins(w, b), ~train
     held = out if len(set(s.y[out].tolist())) == 2 else np.ones(len(z), bool)
     return model_row(w, b, *platt(z[held], s.y[held]))
 
@@ -76,9 +76,8 @@ def judge(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD, t
 
     def run(batches):
         for b in batches:
-            all_texts = b.column(n).to_pylist()
-            for lo, hi in chunked(all_texts):
-                t = Texts(all_texts[lo:hi])
+            for lo, hi, texts in chunked(b.column(n)):
+                t = Texts(texts)
                 c = t.counts
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
                 p = model.score(t) if model else np.ones(t.n)
