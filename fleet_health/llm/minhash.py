@@ -100,7 +100,7 @@ def _darts(element: np.ndarray, weight: np.ndarray, limit: np.ndarray, low: floa
     """(place of the element, rank, hash) of the darts of one weight region
     with a rank of at most the element's ``limit`` that lie below its weight."""
     live, rank, j, block = np.arange(len(element)), np.zeros(len(element)), 0, 4
-    region = np.uint64(int(low) + 1) * _ODD[3]
+    region = (np.array([low + 1]).astype(np.uint64) * _ODD[3])[0]
     out = []
     while len(live):
         e = mix(element[live] + region)
