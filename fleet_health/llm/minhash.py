@@ -20,10 +20,11 @@ on the shingle sets:
    buckets, then against the other buckets' smallest nodes that it is not yet
    linked with;
 3. in buckets that still hold several classes, the pairs across classes are
-   compared inside the join by a sketch (four bits of each coordinate) and their
-   sizes, at their first common bucket, and only those that come within three
-   standard deviations of the similarity leave the join and are checked: nothing
-   is capped.  Of links of similarity 0.8 this step alone finds 99.9 %.
+   compared inside the join by their sizes and parity maps, at their first common
+   bucket.  A shingle flips one bit of its text's map, so two maps differ in at
+   most as many bits as the sets differ in shingles: a pair whose maps differ in
+   more than the threshold allows cannot be a link, and no link is dropped.  The
+   other pairs leave the join and are checked: nothing is capped.
 
 So a large group of near copies costs one check a member, not one a pair, and
 links inside a class that is known are not looked for.  Classes are connected
@@ -55,9 +56,9 @@ from .graph import components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
-# coordinates of a signature; the first BANDS * ROWS of them make the bands
-COORDINATES = 384
-SKETCH_BITS = 4
+# bits of a text's parity map, and texts whose maps are made at a time
+MAP_BITS = 1536
+MAP_TEXTS = 512
 _ODD = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25,
                  0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)  # a factor for each place in a shingle
@@ -153,11 +154,17 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(acc + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _ODD[1]).view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """n x (SKETCH_BITS * k / 64): the bits of the coordinates' hashes, plane by plane."""
-    h = mix(np.ascontiguousarray(sig).view(np.uint64))
-    planes = [np.packbits((h >> np.uint64(p)).astype(np.uint8) & 1, axis=1).view(np.int64) for p in range(SKETCH_BITS)]
-    return np.concatenate(planes, axis=1)
+def parity_maps(text: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+    """n x (MAP_BITS / 64), for ``text`` in order: each bit is the parity of the number of the text's
+    elements that fall on it.  Two maps differ in no more bits than the sets in elements."""
+    out = np.empty((n, MAP_BITS // 64), np.int64)
+    place = (element % np.uint64(MAP_BITS)).astype(np.int64)
+    for lo in range(0, n, MAP_TEXTS):  # texts in order: their elements stand together
+        hi = min(lo + MAP_TEXTS, n)
+        own = slice(*np.searchsorted(text, [lo, hi]))
+        odd = np.bincount((text[own] - lo) * MAP_BITS + place[own], minlength=(hi - lo) * MAP_BITS) & 1
+        out[lo:hi] = np.packbits(odd.astype(bool).reshape(hi - lo, MAP_BITS), axis=1).view(np.int64)
+    return out
 
 
 def _lists(values: np.ndarray, sizes) -> pa.Array:
@@ -166,17 +173,12 @@ def _lists(values: np.ndarray, sizes) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _coordinates(bands: int, rows: int) -> int:
-    return max(COORDINATES, -(-bands * rows // 64) * 64)
-
-
 def band_table(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, counted: bool = False) -> DataFrame:
     """``keyed`` (``row_id``, ``doc_id``, ``key``, ``text``) with ``size``
-    (distinct shingles), ``bands`` and ``sketch``.  ``counted`` weighs a shingle by how
+    (distinct shingles), ``bands`` and ``parity``.  ``counted`` weighs a shingle by how
     often it occurs, else all weigh 1."""
     schema = (f"row_id bigint, doc_id {keyed.schema['doc_id'].dataType.simpleString()}, key binary, size bigint, "
-              "bands array<bigint>, sketch array<bigint>")
-    k = _coordinates(bands, rows)
+              "bands array<bigint>, parity array<bigint>")
 
     def run(batches):
         for b in batches:
@@ -184,15 +186,15 @@ def band_table(keyed: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int =
                 t, s, c = shingles(texts, n)
                 m = hi - lo
                 w = c.astype(np.float64) if counted else np.ones(len(s))
-                sig = signatures(t, s, w, m, k)
+                sig = signatures(t, s, w, m, bands * rows)
                 size = np.bincount(t, minlength=m)
                 full = size > 0
-                keys, bits = band_keys(sig[full, :bands * rows], bands, rows), sketches(sig[full])
+                keys, bits = band_keys(sig[full], bands, rows), parity_maps(t, s, m)[full]
                 p = b.slice(lo, m)
                 yield pa.RecordBatch.from_arrays(
                     [p.column("row_id"), p.column("doc_id"), p.column("key"), pa.array(size, pa.int64()),
                      _lists(keys.ravel(), np.where(full, bands, 0)), _lists(bits.ravel(), np.where(full, bits.shape[1], 0))],
-                    names=["row_id", "doc_id", "key", "size", "bands", "sketch"])
+                    names=["row_id", "doc_id", "key", "size", "bands", "parity"])
 
     return keyed.select("row_id", "doc_id", "key", "text").mapInArrow(run, schema)
 
@@ -215,21 +217,12 @@ def _can_match(a, b, threshold: float):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
-def least_agreement(k: int, threshold: float) -> int:
-    """Coordinates of the sketch that agree at a similarity of ``threshold``, less
-    three standard deviations (differing coordinates agree by chance too)."""
-    p = threshold + (1 - threshold) / 2 ** SKETCH_BITS
-    return math.floor(k * p - 3 * math.sqrt(k * p * (1 - p)))
-
-
-def _agreement(a: str, b: str, k: int):
-    """How many of the sketches' k coordinates agree."""
-    words_ = k // 64
-    differ = []
-    for w in range(words_):
-        x = [F.col(a)[p * words_ + w].bitwiseXOR(F.col(b)[p * words_ + w]) for p in range(SKETCH_BITS)]
-        differ.append(F.bit_count(reduce(lambda u, v: u.bitwiseOR(v), x)))
-    return F.lit(k) - reduce(lambda u, v: u + v, differ)
+def _may_link(a: str, b: str, size_a: str, size_b: str, threshold: float):
+    """False only for pairs that cannot have the similarity: sets of it differ in at
+    most (1 - threshold) / (1 + threshold) of their sizes' sum, their maps in no more bits."""
+    differ = reduce(lambda u, v: u + v, [F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(MAP_BITS // 64)])
+    most = (1 - threshold) / (1 + threshold)
+    return differ <= F.lit(most) * (F.col(size_a) + F.col(size_b)) + F.lit(1e-6)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -241,9 +234,9 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return p.filter(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, k: int | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """Links (``a``, ``b``) that give the classes of ``nodes`` (``node``,
-    ``key``, ``size``, ``bands``, ``sketch``); ``texts`` has ``key`` and ``text``."""
+    ``key``, ``size``, ``bands``, ``parity``); ``texts`` has ``key`` and ``text``."""
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     first = rows.groupBy("bucket").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = stored(rows.join(first.select("bucket", "rep"), "bucket"), "hits")
@@ -271,15 +264,14 @@ def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     roots = stored(components(links), "roots")
     classed = hits.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    more_of = nodes.select("node", "bands", "sketch")
+    more_of = nodes.select("node", "bands", "parity")
     classed = stored(classed.join(mixed, "bucket").join(more_of, "node"), "mixed")
     x = classed.select("bucket", "rep", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"),
-                       F.col("bands").alias("ba"), F.col("sketch").alias("ka"))
+                       F.col("bands").alias("ba"), F.col("parity").alias("pa"))
     y = classed.select(F.col("bucket").alias("same"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"),
-                       F.col("bands").alias("bb"), F.col("sketch").alias("kb"))
-    k = k or COORDINATES
+                       F.col("bands").alias("bb"), F.col("parity").alias("pb"))
     across = x.join(y, (F.col("bucket") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                    & _can_match(F.col("na"), F.col("nb"), threshold) & (_agreement("ka", "kb", k) >= least_agreement(k, threshold))
+                    & _can_match(F.col("na"), F.col("nb"), threshold) & _may_link("pa", "pb", "na", "nb", threshold)
                     & (F.array_intersect("ba", "bb")[0] == F.col("bucket"))).select("a", "b")
     return stored(links.unionByName(_checked(across, sets, threshold)), "links")
 
@@ -291,11 +283,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the smallest id) and ``key`` (MD5 of the text)."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     table = stored(band_table(d.withColumn("row_id", F.monotonically_increasing_id()), bands, rows, n, counted), "bands")
-    nodes = (table.groupBy("key").agg(F.min(F.struct("row_id", "size", "bands", "sketch")).alias("x"))
+    nodes = (table.groupBy("key").agg(F.min(F.struct("row_id", "size", "bands", "parity")).alias("x"))
              .select(F.col("x.row_id").alias("node"), "key", F.col("x.size").alias("size"), F.col("x.bands").alias("bands"),
-                     F.col("x.sketch").alias("sketch")))
+                     F.col("x.parity").alias("parity")))
     nodes = stored(nodes, "nodes")
-    links = near_links(nodes, d.select("key", "text"), threshold, n, _coordinates(bands, rows))
+    links = near_links(nodes, d.select("key", "text"), threshold, n)
     roots = components(links)
     of_key = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     member = stored(table.select("row_id", "doc_id", "key").join(of_key, "key"), "members")
