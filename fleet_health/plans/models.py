@@ -228,7 +228,7 @@ def q_detector_leaderboard(spark, sf_dir):
     """Forest, forest on SMOTE, isolation forest, kernel novelty, LOF and
     a two-member vote, evaluated on the same held-out rows, ranked by F1.  The
     unsupervised members are fitted on the training rows too; LOF has no model
-    and compares a row with its neighbours of both parts."""
+    and compares a row with its neighbours among all rows of both parts."""
     f, feats = _robust(spark, sf_dir)
     train, test = _split(f)
     rf = SV.score_batch(SV.weighted_forest(train, feats, num_trees=100, max_depth=10), test) \
@@ -245,7 +245,7 @@ def q_detector_leaderboard(spark, sf_dir):
     pts = d.select(HOST, SAMPLE, (F.col(CPU) / 100).alias("a"), (F.col(MEM) / 100).alias("b"),
                    (F.col(DISK) / 100).alias("c"))
     from ..operators.knn import top_share
-    lof = top_share(local_outlier_factor(pts, ["a", "b", "c"], 20, keys=[HOST]), "lof", 0.06) \
+    lof = top_share(local_outlier_factor(pts, ["a", "b", "c"], 20), "lof", 0.06) \
         .select(SAMPLE, F.col("is_outlier").cast("int").alias("local_outlier_factor"))
     j = rf.join(sm, SAMPLE).join(iso, SAMPLE).join(nov, SAMPLE).join(lof, SAMPLE)
     j = j.withColumn("vote_forests", E.vote_ensemble(["random_forest", "random_forest_smote"]))
