@@ -5,7 +5,8 @@ the SHA-256 of its text.  The ledger is a Parquet table in the shared folder
 with a row for each (blob, rule at its version) that has been scanned and the
 spans found.  A scan takes the versions' distinct blobs, leaves out the pairs
 that the ledger holds, runs only the rules that are new to a blob, appends, and
-joins the findings back to all paths.  A new rule version is a new key, so it
+joins the findings back to all paths.  A ledger opened again at its path, also by
+another session, goes on where it stopped.  A new rule version is a new key, so it
 alone is run over old blobs.
 
 Positions are in code points, the end exclusive.  They follow from the text
@@ -92,14 +93,31 @@ def blob_of(text: Column) -> Column:
 
 class Ledger:
     """``seen`` (blob, rule) and ``spans`` (blob, rule, start, end), one
-    subfolder of each per scan.  A scan whose driver fails before the end of
-    ``append`` leaves no entry in ``seen`` and is simply done again."""
+    subfolder of each per scan.  Opening a path goes on after the scans committed
+    there.  A scan whose driver fails before the end of ``append`` has no finished
+    ``seen``, counts for nothing and is simply done again.  Scans of one path are
+    made one after the other."""
 
     def __init__(self, spark, path: str | None = None):
-        self.spark, self.path, self.scans = spark, path or work_dir(spark, "ledger"), 0
+        self.spark, self.path = spark, path or work_dir(spark, "ledger")
+        self.committed = self._committed()
+
+    @property
+    def scans(self) -> int:
+        """The number of the next scan."""
+        return max(self.committed, default=-1) + 1
+
+    def _committed(self) -> list[int]:
+        """Numbers of the scans at the path whose ``seen`` is finished, by Spark's file system."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        numbers = [int(n[5:]) for n in names if n.startswith("scan=") and n[5:].isdigit()]
+        return sorted(i for i in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/scan={i}/seen/_SUCCESS")))
 
     def _all(self, what: str, schema: str) -> DataFrame:
-        parts = [f"{self.path}/scan={i}/{what}" for i in range(self.scans)]
+        parts = [f"{self.path}/scan={i}/{what}" for i in self.committed]
         return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def seen(self) -> DataFrame:
@@ -110,10 +128,11 @@ class Ledger:
 
     def append(self, scanned: DataFrame) -> None:
         """``scanned``: blob, rule, found."""
+        self.committed = self._committed()
         at = f"{self.path}/scan={self.scans}"
         stored(_spans(scanned), "spans", f"{at}/spans")
         stored(scanned.select("blob", "rule"), "seen", f"{at}/seen")
-        self.scans += 1
+        self.committed.append(self.scans)
 
 
 def scan(versions: DataFrame, ledger: Ledger, rules=RULES) -> DataFrame:
