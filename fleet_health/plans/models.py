@@ -143,20 +143,28 @@ def _detector_input(spark, sf_dir):
     return materialize(load_metrics(spark, sf_dir).select(HOST, SAMPLE, TS, LABEL, CPU, MEM, DISK))
 
 
+def _pack(df, pack):
+    """A feature pack of all rows (no value: 0) and its feature names."""
+    f = pack(df)
+    feats = [c for c in f.columns if c not in (HOST, SAMPLE, TS, LABEL)]
+    return materialize(f.na.fill(0, feats)), feats
+
+
 @query("isolation_forest")
 def q_isolation_forest(spark, sf_dir):
-    """M1: 100 trees, 256 samples, contamination 0.01 on cpu / memory / disk."""
-    d = _detector_input(spark, sf_dir)
-    model = iforest.fit(d, [CPU, MEM, DISK], 100, 256)
+    """M1: 100 trees, 256 samples, contamination 0.01 on the basic features (K1)."""
+    d, feats = _pack(load_metrics(spark, sf_dir), packs.features_basic)
+    model = iforest.fit(d, feats, 100, 256)
     return iforest.score(model, d, 0.01).select(HOST, SAMPLE, LABEL, "anomaly_score", "prediction")
 
 
 @query("isolation_forest_search")
 def q_isolation_forest_search(spark, sf_dir):
-    """M2: grid of trees x samples x contamination, F1 against the labels."""
-    d = _detector_input(spark, sf_dir)
-    return iforest.search(d, [CPU, MEM, DISK], LABEL, {"n_estimators": [50, 100], "max_samples": [128, 256],
-                                                      "contamination": [0.01, 0.06]})
+    """M2: grid of trees x samples x contamination on the enhanced features (K2),
+    F1 against the labels."""
+    d, feats = _pack(load_metrics(spark, sf_dir), packs.features_enhanced)
+    return iforest.search(d, feats, LABEL, {"n_estimators": [50, 100], "max_samples": [128, 256],
+                                             "contamination": [0.01, 0.06]})
 
 
 # ------------------------------------------------------------------ M3 (with oracle)
@@ -195,12 +203,11 @@ def q_kernel_novelty(spark, sf_dir):
 # ------------------------------------------------------------------ M8
 @query("sequence_classifier")
 def q_sequence_classifier(spark, sf_dir):
-    """M8: 10-step windows per host (flattened + attention pooling), cut in
-    time order and split by time (L6); boosted trees with early stopping on
+    """M8: 10-step windows per host of the temporal features (K4; flattened +
+    attention pooling), cut in time order and split by time (L6); boosted trees with early stopping on
     a validation fifth of the training windows."""
-    mt = load_metrics(spark, sf_dir)
-    feats = [CPU, MEM, DISK]
-    w = sequence.flatten_windows(mt, feats)
+    k4, feats = _pack(load_metrics(spark, sf_dir), packs.features_temporal)
+    w = sequence.flatten_windows(k4, feats)
     s = materialize(L.time_ordered_split(w, 0.2))
     train = s.filter(~F.col("is_test")).withColumn("is_val", L.unit_hash(F.col(SAMPLE), 5) < 0.2)
     test = s.filter(F.col("is_test"))
