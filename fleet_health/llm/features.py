@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Hasher, chunked, code_points, is_space, mix, words
+from .common import stored
 
 DIM = 1 << 15
 GROUPS = 5
@@ -281,3 +282,32 @@ def bounded(ids: DataFrame, rows: int, seed: str) -> DataFrame:
     n = ids.count()
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return ids.filter(u < F.lit(min(1.0, rows / max(n, 1))))
+
+
+def bounded_by_class(labelled: DataFrame, rows: int, seed: str) -> tuple[DataFrame, dict[int, int]]:
+    """About ``rows`` rows of ``labelled`` (``doc_id``, ``y``), half of them of either
+    class (more where the other has fewer), by the same hash; and the rows of each
+    class in ``labelled``.  Raises if a class is lost."""
+    count = lambda df: {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = count(labelled)
+    share = {y: min(1.0, max(rows / 2, rows - sum(n for x, n in of.items() if x != y)) / n) for y, n in of.items()}
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    limit = F.create_map(*[F.lit(x) for ys in share.items() for x in ys])[F.col("y")] if share else F.lit(0.0)
+    chosen = stored(labelled.filter(u < limit), "chosen")
+    if set(count(chosen)) != set(of):
+        raise RuntimeError(f"train_rows = {rows} leaves no labelled row of a class: {of}")
+    return chosen, of
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each ``doc_id`` (``text``, ``y``, ``fold``): repeated ids meet in a partial aggregate."""
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("y").alias("y"), F.min("fold").alias("fold"))
+
+
+def class_weights(y: np.ndarray, of: dict[int, int]) -> np.ndarray:
+    """Each labelled row's weight, so that the sample's classes weigh as all labels' do (1 on average; others 1)."""
+    out, known = np.ones(len(y)), np.isin(y, list(of))
+    for c, n in of.items():
+        out[y == c] = n / max((y == c).sum(), 1)
+    out[known] /= out[known].mean() if known.any() else 1.0
+    return out

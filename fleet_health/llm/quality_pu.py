@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrays import chunked
 from .common import stored, text_of
-from .features import DIM, GROUPS, SCALE, Linear, Sample, Texts, bounded, descend, fitted, model_row, platt, sigmoid, sparse_rows
+from .features import DIM, GROUPS, SCALE, Linear, Sample, Texts, bounded, bounded_by_class, class_weights, descend, fitted, model_row, one_each, platt, sigmoid, sparse_rows
 
 TRAIN_ROWS = 2500
 EPOCHS = 30
@@ -74,7 +74,7 @@ def _start(prior: float):
     return fit
 
 
-def _scale(model: Linear):
+def _scale(model: Linear, of: dict[int, int]):
     w, b = model.weights, model.bias
 
     def fit(s):
@@ -83,6 +83,7 @@ def _scale(model: Linear):
         left_out = (s.y == 1) & ~learn
         scale = (s.y == 0) | (left_out if left_out.any() else s.y == 1)
         weight = np.where(s.y == 1, (s.y == 1).sum() / max((scale & (s.y == 1)).sum(), 1), 1.0)
+        weight *= class_weights(s.y, of)
         return model_row(w, b, *platt(s.margins(w, b)[scale], s.y[scale], weight[scale]))
     return fit
 
@@ -162,17 +163,20 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     prior = (positives + 1) / (n + 2)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     u = d.select("doc_id").filter(open_ids & F.col("doc_id").isNotNull())
-    chosen = (bounded(y, train_rows, "pu-labelled")
-              .unionByName(bounded(u, train_rows, "pu-unlabelled").distinct().withColumn("y", F.lit(UNLABELLED))))
+    labelled, of = bounded_by_class(y, train_rows, "pu-labelled")
+    chosen = (labelled.unionByName(bounded(u, train_rows, "pu-unlabelled").distinct().withColumn("y", F.lit(UNLABELLED))))
     chosen = stored(chosen, "chosen")  # about twice ``train_rows`` ids, so they are broadcast
     fold = F.pmod(F.crc32(F.concat_ws("|", F.lit("pu-fold"), F.col("doc_id").cast("string"))), F.lit(4))
-    rows = stored(sparse_rows(d.join(F.broadcast(chosen), "doc_id").withColumn("fold", fold)), "features")
+    sample = d.join(F.broadcast(chosen), "doc_id").withColumn("fold", fold)
+    # an id may be both labelled and unlabelled: one row of each
+    sample = one_each(sample.filter(f"y != {UNLABELLED}")).unionByName(one_each(sample.filter(f"y = {UNLABELLED}")))
+    rows = stored(sparse_rows(sample), "features")
     model = fitted(rows, _start(prior))
     if model is None:
         return None, prior
     positives = Sample(rows.filter("y = 1 and fold != 0").toArrow().to_batches())
     model = over_all(d.filter(open_ids).select(text_of("text").alias("text")), model, positives, prior)
-    return fitted(rows, _scale(model)), prior
+    return fitted(rows, _scale(model, of)), prior
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD,

@@ -7,8 +7,8 @@ rows and calibrated (Platt) on the part of them that training left out; the
 verdict compares the probability with a fixed threshold.  Counting and scoring
 happen in one pass in Arrow batches.
 
-The classifier is fitted on about ``train_rows`` labelled rows, chosen by a
-hash of their id; that bound does not grow with the data, everything else covers
+The classifier is fitted on about ``train_rows`` labelled rows, half of either
+class, chosen by a hash of their id, one row of each, and weighed by class as all labels are; that bound does not grow with the data, everything else covers
 all rows.
 
 Defined results: a null text has no words and fails.  Without labelled rows of
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .arrays import chunked
 from .common import Masked, stored, text_of
-from .features import Linear, Texts, bounded, descend, fitted, model_row, platt, sigmoid, sparse_rows
+from .features import Linear, Texts, bounded_by_class, class_weights, descend, fitted, model_row, one_each, platt, sigmoid, sparse_rows
 
 TRAIN_ROWS = 2500
 EPOCHS = 16
@@ -38,31 +38,34 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int, seed: str, id_col: str, text_col: str,
-                  label_col: str = "quality") -> DataFrame:
-    """Features of a bounded sample of ``docs`` with a label, stored.  The ids
-    chosen are about ``rows``, so they are broadcast."""
+                  label_col: str = "quality") -> tuple[DataFrame, dict[int, int]]:
+    """Features of a bounded sample of ``docs`` with a label, stored, and
+    the number of labels of each class.  The ids chosen are about ``rows``, so they are broadcast."""
     y = (labels.select(F.col("doc_id"), F.col(label_col).alias("y")).filter("doc_id is not null and y in (0, 1)")
          .groupBy("doc_id").agg(F.min("y").alias("y")))
-    chosen = stored(bounded(y, rows, seed), "chosen")
+    chosen, of = bounded_by_class(y, rows, seed)
     fold = F.pmod(F.crc32(F.concat_ws("|", F.lit(seed), F.lit("fold"), F.col("doc_id").cast("string"))), F.lit(4))
     t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return stored(sparse_rows(t.withColumn("fold", fold)), "features")
+    return stored(sparse_rows(one_each(t.withColumn("fold", fold))), "features"), of
 
 
-def _fit(s):
-    if len(set(s.y.tolist())) < 2:
-        return None
-    train = s.fold != 0
-    if len(set(s.y[train].tolist())) < 2:
-        train[:] = True
-    w, b = descend(s, lambda z, own: np.where(train[own], sigmoid(z) - s.y[own], 0.0) / len(own), EPOCHS)
-    z, out = s.margins(w, b), ~train
-    held = out if len(set(s.y[out].tolist())) == 2 else np.ones(len(z), bool)
-    return model_row(w, b, *platt(z[held], s.y[held]))
+def _fit(of: dict[int, int]):
+    def fit(s):
+        if len(set(s.y.tolist())) < 2:
+            return None
+        train, weight = s.fold != 0, class_weights(s.y, of)
+        if len(set(s.y[train].tolist())) < 2:
+            train[:] = True
+        w, b = descend(s, lambda z, own: np.where(train[own], (sigmoid(z) - s.y[own]) * weight[own], 0.0) / len(own), EPOCHS)
+        z, out = s.margins(w, b), ~train
+        held = out if len(set(s.y[out].tolist())) == 2 else np.ones(len(z), bool)
+        return model_row(w, b, *platt(z[held], s.y[held], weight[held]))
+    return fit
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text"):
-    return fitted(labelled_rows(docs, labels, train_rows, "rules", id_col, text_col), _fit)
+    rows, of = labelled_rows(docs, labels, train_rows, "rules", id_col, text_col)
+    return fitted(rows, _fit(of))
 
 
 def judge(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
