@@ -74,12 +74,15 @@ def _grow(tree_id: int, x: np.ndarray, seed: int, max_features: int) -> list[tup
     return nodes
 
 
-def fit(df: DataFrame, features: Sequence[str], n_trees: int = 100, max_samples: int = 256,
+def fit(df: DataFrame, features: Sequence[str], n_trees: int = 100, max_samples: int | float | str = 256,
         max_features: float = 1.0, seed: int = 42, id_col: str = SAMPLE) -> dict:
-    """Grow the forest; returns the (small) model: node table and psi."""
+    """Grow the forest; returns the (small) model: node table and psi.
+    ``max_samples`` is a number of rows, a share of them (float) or 'auto' (256)."""
     feats = list(features)
     n = df.count()
-    psi = int(min(max_samples, n))
+    if max_samples == "auto":
+        max_samples = 256
+    psi = int(min(max_samples * n if isinstance(max_samples, float) else max_samples, n))
     if psi < 1:
         raise ValueError("an isolation forest needs at least one row")
     draw = lambda *salt: F.pmod(F.xxhash64(F.col("_id"), *[F.lit(seed) if x is None else x for x in salt]), F.lit(1 << 52)) \
