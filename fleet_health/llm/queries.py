@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from .common import table, text_of
+from .conversations import repair_conversations
 from .exact_dedup import exact_duplicates
+from .fill_middle import fill_in_middle
 from .line_dedup import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import BLOCK_WORDS, MAX_EPOCHS, SEED, mix_sources
@@ -173,3 +175,66 @@ FROM p LEFT JOIN f ON p.h = f.h""")
 def op5_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_fill_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                  sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+x AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 AS plain FROM x),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf,
+             CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(pre) END AS prefix_chars, CASE WHEN NOT plain THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""")
+def op11_fill_middle(spark, sf_dir):
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair", r"""
+WITH RECURSIVE
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+w AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS way FROM k, crc),
+h AS (SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE way WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM w WHERE way != 0),
+o AS (SELECT *, row_number() OVER q - 1 AS i, lag(role) OVER q AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+             regexp_replace(text, '[ 	-
+]+$', '') AS bare FROM h WINDOW q AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'truncated' ELSE 'none' END AS fault FROM o),
+-- up to two inserts lead from state p to state m; then comes the row's own edit
+ins(p, m, paid, e, roles) AS (VALUES ('', '', 0, '', []::VARCHAR[]), ('', 'u', 2, 'I', ['user:']), ('', 'a', 4, 'II', ['user:', 'assistant:']),
+  ('s', 's', 0, '', []), ('s', 'u', 2, 'I', ['user:']), ('s', 'a', 4, 'II', ['user:', 'assistant:']),
+  ('u', 'u', 0, '', []), ('u', 'a', 2, 'I', ['assistant:']), ('a', 'a', 0, '', []), ('a', 'u', 2, 'I', ['user:'])),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS rows FROM o
+  UNION ALL
+  SELECT conv_id, i, state, best.cost, best.audit, best.rows FROM (
+    SELECT conv_id, i, state, min({'cost': cost, 'audit': audit, 'rows': rows}) AS best FROM (
+      SELECT v.conv_id, v.i + 1 AS i, v.audit || ins.e || act AS audit,
+             v.cost + ins.paid + CASE act WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN act != 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+             CASE act WHEN 'D' THEN m WHEN 'K' THEN substr(f.role, 1, 1) WHEN 'R' THEN CASE m WHEN 'u' THEN 'a' ELSE 'u' END END AS state,
+             list_concat(list_concat(v.rows, ins.roles), CASE act WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text]
+               ELSE [CASE m WHEN 'u' THEN 'assistant' ELSE 'user' END || ':' || f.text] END) AS rows
+      FROM walk v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i JOIN ins ON ins.p = v.state, (VALUES ('D'), ('K'), ('R')) acts(act)
+      WHERE act = 'D' OR (fault NOT IN ('blank', 'duplicate')
+            AND (act = 'R' OR m || substr(f.role, 1, 1) IN ('s', 'u', 'su', 'ua', 'au') AND f.role != '')))
+    GROUP BY conv_id, i, state)),
+ends AS (SELECT conv_id, min({'cost': cost + CASE state WHEN 'u' THEN 2 WHEN 's' THEN 4 ELSE 0 END,
+                              'audit': audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END,
+                              'rows': list_concat(rows, CASE state WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE []::VARCHAR[] END)}) AS best
+         FROM walk JOIN (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id) c USING (conv_id) WHERE i = n GROUP BY conv_id),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (i > 0 AND substr(before, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.rows, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN sums USING (conv_id) LEFT JOIN ends USING (conv_id)""")
+def op12_conversation_repair(spark, sf_dir):
+    return repair_conversations(table(spark, sf_dir, "conversations"))
