@@ -17,6 +17,7 @@ from .mixing import BLOCK_WORDS, MAX_EPOCHS, SEED, mix_sources
 from .packing import pack_documents
 from .quality_pu import quality_scores
 from .quality_rules import quality_rules
+from .repeats import remove_repeats
 from .secret_scan import scan_digest
 from .url_filter import judge_urls, rules_frame
 from .warc import round_trip
@@ -238,3 +239,8 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN sums USING (conv_id) LEFT JOIN ends USING (conv_id)""")
 def op12_conversation_repair(spark, sf_dir):
     return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_suffix_dedup")
+def op13_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
