@@ -19,9 +19,10 @@ on the shingle sets:
 2. each node is checked against the smallest of the smallest nodes of its
    buckets, then against the other buckets' smallest nodes that it is not yet
    linked with;
-3. in buckets that still hold several classes, the pairs across classes are
-   compared inside the join by their sizes and parity maps, at their first common
-   bucket.  A shingle flips one bit of its text's map, so two maps differ in at
+3. in buckets that still hold several classes, all members are joined with those
+   outside the bucket's largest class, by steps of size, so that a large class
+   is never compared with itself.  The pairs across classes are compared inside
+   the join by their sizes and parity maps, at their first common bucket.  A shingle flips one bit of its text's map, so two maps differ in at
    most as many bits as the sets differ in shingles: a pair whose maps differ in
    more than the threshold allows cannot be a link, and no link is dropped.  The
    other pairs leave the join and are checked: nothing is capped.
@@ -234,6 +235,37 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return p.filter(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def class_sides(classed: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``classed`` (``bucket``, ``node``, ``root``, ``size``, ...), for the
+    buckets that hold several classes: all members, and those outside the
+    bucket's largest class (``other``), by steps of size (``step``).  Members of
+    the largest class never meet each other, and only sets whose sizes allow the
+    similarity do, so a bucket costs about as many comparisons as it has pairs
+    across classes."""
+    per = classed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("classes"))
+    largest = stored(largest.filter("classes > 1").select("bucket", F.col("x.root").alias("big")), "mixed")
+    step = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.lit(math.log(1 / threshold))).cast("int")
+    maps = nodes.select("node", "bands", "parity")
+    members = stored(classed.join(largest, "bucket").join(maps, "node").withColumn("step", step), "mixed_members")
+    other = members.filter("root != big").withColumn("step", F.explode(F.array(*[F.col("step") + i for i in (-1, 0, 1)])))
+    return members, other
+
+
+def across_classes(classed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (``a``, ``b``) of one bucket that are in different classes and may link."""
+    members, other = class_sides(classed, nodes, threshold)
+    x = members.select("bucket", "step", "big", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"),
+                       F.col("bands").alias("ba"), F.col("parity").alias("pa"))
+    y = other.select("bucket", "step", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"),
+                     F.col("bands").alias("bb"), F.col("parity").alias("pb"))
+    # two outside the largest class meet twice, one inside it is only on the left
+    return (x.join(y, ["bucket", "step"])
+            .filter((F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("big")) | (F.col("a") < F.col("b")))
+                    & _can_match(F.col("na"), F.col("nb"), threshold) & _may_link("pa", "pb", "na", "nb", threshold)
+                    & (F.array_intersect("ba", "bb")[0] == F.col("bucket"))).select("a", "b"))
+
+
 def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """Links (``a``, ``b``) that give the classes of ``nodes`` (``node``,
     ``key``, ``size``, ``bands``, ``parity``); ``texts`` has ``key`` and ``text``."""
@@ -263,16 +295,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     # pairs across classes in the buckets that still hold several
     roots = stored(components(links), "roots")
     classed = hits.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = classed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    more_of = nodes.select("node", "bands", "parity")
-    classed = stored(classed.join(mixed, "bucket").join(more_of, "node"), "mixed")
-    x = classed.select("bucket", "rep", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"),
-                       F.col("bands").alias("ba"), F.col("parity").alias("pa"))
-    y = classed.select(F.col("bucket").alias("same"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"),
-                       F.col("bands").alias("bb"), F.col("parity").alias("pb"))
-    across = x.join(y, (F.col("bucket") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                    & _can_match(F.col("na"), F.col("nb"), threshold) & _may_link("pa", "pb", "na", "nb", threshold)
-                    & (F.array_intersect("ba", "bb")[0] == F.col("bucket"))).select("a", "b")
+    across = across_classes(classed, nodes, threshold)
     return stored(links.unionByName(_checked(across, sets, threshold)), "links")
 
 
