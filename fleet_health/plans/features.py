@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import packs, rolling as R, series
+from ..operators.frames import Frames
 from ..schema import BASE_FEATURES, CPU, DISK, HOST, LABEL, MEM, METRIC_COLUMNS, SAMPLE, TS
 from ..sources.metrics import load_metrics
 from . import sqlwin as Q
@@ -109,13 +110,13 @@ Q_KS = (5, 10, 20)
     f"{Q.quant(CPU_S, k, 0.25)} AS cpu_rolling_25p_{k}, {Q.quant(CPU_S, k, 0.75)} AS cpu_rolling_75p_{k}"
     for k in Q_KS), [f"cpu_rolling_{p}_{k}" for k in Q_KS for p in ("25p", "75p")]))
 def q_rolling_quantile(spark, sf_dir):
-    def cols():
-        out = []
-        for k in Q_KS:
-            out += [R.rolling_quantile(CPU, k, 0.25).alias(f"cpu_rolling_25p_{k}"),
-                    R.rolling_quantile(CPU, k, 0.75).alias(f"cpu_rolling_75p_{k}")]
-        return out
-    return _win(load_metrics(spark, sf_dir), cols, lookback=max(Q_KS) - 1)
+    """Quartiles of three trailing frames, each sorted once."""
+    fr = Frames([CPU], Q_KS)
+
+    def build(p):
+        cols = [fr.quantile(CPU, k, q).alias(f"cpu_rolling_{n}_{k}") for k in Q_KS for n, q in (("25p", 0.25), ("75p", 0.75))]
+        return fr.attach(p).select(*IDS, series.RN, series.CHUNK, series.HALO, *cols)
+    return series.apply(load_metrics(spark, sf_dir), build, lookback=max(Q_KS) - 1)
 
 
 def _w5_names():
@@ -136,19 +137,21 @@ def _w5_sql_list():
 
 @query("multi_window_stats", sql=_sql(", ".join(_w5_sql_list()), _w5_names()))
 def q_multi_window_stats(spark, sf_dir):
-    """6 statistics x 3 windows x 5 metrics in one window stage."""
-    def cols():
-        out = []
+    """6 statistics x 3 windows x 5 metrics from one sorted frame each."""
+    fr = Frames(BASE_FEATURES, packs.ENHANCED_WINDOWS)
+
+    def build(p):
+        cols = []
         for c in BASE_FEATURES:
             for k in packs.ENHANCED_WINDOWS:
-                out += [R.rolling_mean(c, k).alias(f"{c}_rolling_mean_{k}"),
-                        R.rolling_std(c, k).alias(f"{c}_rolling_std_{k}"),
-                        R.rolling_min(c, k).alias(f"{c}_rolling_min_{k}"),
-                        R.rolling_max(c, k).alias(f"{c}_rolling_max_{k}"),
-                        R.rolling_quantile(c, k, 0.25).alias(f"{c}_rolling_25p_{k}"),
-                        R.rolling_quantile(c, k, 0.75).alias(f"{c}_rolling_75p_{k}")]
-        return out
-    return _win(load_metrics(spark, sf_dir), cols, lookback=max(packs.ENHANCED_WINDOWS) - 1)
+                cols += [fr.mean(c, k).alias(f"{c}_rolling_mean_{k}"),
+                         fr.std(c, k).alias(f"{c}_rolling_std_{k}"),
+                         fr.min(c, k).alias(f"{c}_rolling_min_{k}"),
+                         fr.max(c, k).alias(f"{c}_rolling_max_{k}"),
+                         fr.quantile(c, k, 0.25).alias(f"{c}_rolling_25p_{k}"),
+                         fr.quantile(c, k, 0.75).alias(f"{c}_rolling_75p_{k}")]
+        return fr.attach(p).select(*IDS, series.RN, series.CHUNK, series.HALO, *cols)
+    return series.apply(load_metrics(spark, sf_dir), build, lookback=max(packs.ENHANCED_WINDOWS) - 1)
 
 
 # ------------------------------------------------------------------ W6-W9
