@@ -16,6 +16,7 @@ between the node's min and max; a leaf of size m adds c(m) = 2 H(m - 1) -
 from __future__ import annotations
 
 import math
+from itertools import product
 from typing import Sequence
 
 import numpy as np
@@ -25,10 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.knn import top_share
+from ..operators.labels import rank_within
 from ..schema import SAMPLE
+from ..session import materialize
 
 EULER = 0.5772156649015329
 POOL = 4.0  # rows to choose from, per row wanted
+FIT_ROWS = 2048  # rows that a search grows its trees on, at most
+# fixed values: the grid of the search
+SEARCH_GRID = {"n_estimators": (50, 100, 200), "max_samples": ("auto", 0.5, 0.8), "contamination": (0.005, 0.01, 0.02),
+               "max_features": (0.5, 0.8, 1.0)}
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size long, depth int")
 
@@ -160,18 +167,88 @@ def score(model: dict, df: DataFrame, contamination: float | None = 0.01,
         .withColumn("prediction", F.col("prediction_flag").cast("int")).drop("prediction_flag")
 
 
-def search(df: DataFrame, features, label: str, grid: dict, seed: int = 42) -> DataFrame:
-    """M2: fit / score over a parameter grid and evaluate against labels."""
-    from itertools import product
-    from ..operators.evaluate import evaluate_predictions
-    keys = list(grid)
-    out = None
-    for vals in product(*[grid[k] for k in keys]):
-        p = dict(zip(keys, vals))
-        m = fit(df, features, p.get("n_estimators", 100), p.get("max_samples", 256),
-                p.get("max_features", 1.0), seed)
-        sc = score(m, df, p.get("contamination", 0.01))
-        ev = evaluate_predictions(sc, ["prediction"], label).select(
-            *[F.lit(v).alias(k) for k, v in p.items()], "precision", "recall", "f1")
-        out = ev if out is None else out.unionByName(ev)
-    return out
+def search(df: DataFrame, features: Sequence[str], label: str, grid: dict | None = None, seed: int = 42,
+           fit_rows: int = FIT_ROWS, id_col: str = SAMPLE) -> DataFrame:
+    """M2: precision, recall and F1 of every point of ``grid`` from few forests: the
+    first 50 trees of 200 are a 50-tree forest, and contamination is a cut of one
+    score, so 81 points take 9 forests and one pass.  The trees grow on samples
+    of at most ``fit_rows`` rows of the table, the first by a hash of the id
+    (shares of ``max_samples`` are of these); all rows are scored and ranked."""
+    g = {**SEARCH_GRID, **(grid or {})}
+    spark, feats = df.sparkSession, list(features)
+    n = df.count()
+    draw = F.xxhash64(F.col("_id"), F.lit(seed), F.lit("rows"))
+    sample = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double") for c in feats])
+    if n > fit_rows:
+        # the smallest hashes stand below this bound almost surely; of them the first fit_rows are taken
+        sample = sample.filter(F.pmod(draw, F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, 2 * fit_rows / n))))
+    pool = sample.orderBy(F.pmod(draw, F.lit(1 << 40)), "_id").limit(fit_rows).toPandas()
+    x = pool[feats].to_numpy("float64")
+    counts = sorted(g["n_estimators"])
+    kinds = list(product(g["max_samples"], g["max_features"]))
+    psis = [min(256 if m == "auto" else int(m * len(x)) if isinstance(m, float) else int(m), len(x)) for m, _ in kinds]
+    if not len(x) or min(psis) < 1:
+        raise ValueError("an isolation forest needs at least one row")
+    rows_bc = spark.sparkContext.broadcast(x)  # bounded: fit_rows x features
+
+    def grow(batches):
+        for pdf in batches:
+            for kind, tree in zip(pdf["kind"], pdf["tree"]):
+                data, psi, mf = rows_bc.value, psis[kind], max(1, round(kinds[kind][1] * len(feats)))
+                rng = np.random.RandomState((seed * 1_000_003 + kind * 1009 + tree) % (1 << 32))
+                nodes = _grow(int(tree), data[rng.choice(len(data), psi, replace=False)], seed + 7919 * kind, mf)
+                out = pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+                yield out.assign(kind=kind)
+
+    todo = spark.range(len(kinds) * counts[-1]).select((F.col("id") % len(kinds)).cast("int").alias("kind"),
+                                                      F.floor(F.col("id") / len(kinds)).cast("int").alias("tree"))
+    nodes = todo.mapInPandas(grow, "tree int, node int, feature int, threshold double, left int, right int, size long, depth int, "
+                                   "kind int").toPandas()  # model-sized
+    forests = [_tree_arrays(nodes[nodes["kind"] == i]) for i in range(len(kinds))]
+    bc = spark.sparkContext.broadcast(forests)
+    cpsi = [float(c_factor([p])[0]) or 1.0 for p in psis]
+
+    def score(batches):
+        for pdf in batches:
+            v = pdf[feats].to_numpy("float64")
+            cols = []
+            for trees, c in zip(bc.value, cpsi):
+                total = np.zeros(len(v))
+                for t, tree in enumerate(trees, 1):
+                    total += _depths(tree, v)
+                    if t in counts:
+                        cols.append(np.power(2.0, -total / t / c))
+            yield pd.DataFrame({"_id": pdf["_id"], label: pdf[label], "scores": np.stack(cols, axis=1).tolist() if len(pdf) else []})
+
+    scored = df.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias(label), *[F.col(c).cast("double") for c in feats]) \
+        .mapInPandas(score, f"_id {dict(df.dtypes)[id_col]}, {label} int, scores array<double>")
+    each = materialize(scored.select("_id", label, F.posexplode("scores").alias("model", "score")))
+    ranked = rank_within(each, ["model"], 1 - F.col("score"), tie="_id")
+    y = F.col(label) == 1
+    aggs = [F.count_if(y).alias("y")]
+    cuts = list(g["contamination"])
+    for i, c in enumerate(cuts):
+        flagged = F.col("_rank") <= math.ceil(n * c)
+        aggs += [F.count_if(y & flagged).alias(f"tp{i}"), F.count_if(flagged).alias(f"n{i}")]
+    wide = ranked.groupBy("model").agg(*aggs)
+    per = wide.select("model", "y", F.inline(F.array(*[F.struct(F.lit(float(c)).alias("contamination"), F.col(f"tp{i}").alias("tp"),
+                                                                F.col(f"n{i}").alias("flagged")) for i, c in enumerate(cuts)])))
+    names = spark.createDataFrame([(i, t, str(m), float(mf)) for i, ((m, mf), t) in enumerate(product(kinds, counts))],
+                                  "model int, n_estimators int, max_samples string, max_features double")
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return (names.join(per, "model").select(
+        "n_estimators", "max_samples", "contamination", "max_features", ratio(F.col("tp"), F.col("flagged")).alias("precision"),
+        ratio(F.col("tp"), F.col("y")).alias("recall"), ratio(2.0 * F.col("tp"), F.col("flagged") + F.col("y")).alias("f1")))
+
+
+def _depths(tree: tuple, x: np.ndarray) -> np.ndarray:
+    """Path length of each row in one tree."""
+    feature, threshold, left, right, length, height = tree
+    at, rows = np.zeros(len(x), int), np.arange(len(x))
+    for _ in range(height + 1):
+        f = feature[at]
+        inner = f >= 0
+        if not inner.any():
+            break
+        at = np.where(inner, np.where(x[rows, np.where(inner, f, 0)] < threshold[at], left[at], right[at]), at)
+    return length[at]

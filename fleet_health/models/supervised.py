@@ -118,26 +118,6 @@ def cross_validate(df: DataFrame, features, label: str = LABEL, k: int = 5, num_
     return {"mean_f1": float(m.avgMetrics[0]), "two_std_f1": 2 * float(m.stdMetrics[0]), "model": m.bestModel}
 
 
-def grid_search(df: DataFrame, features, label: str = LABEL, k: int = 5, seed: int = 42,
-                num_trees=(100, 200), max_depth=(10, 20, None), min_instances=(1, 2),
-                parallelism: int = 4):
-    """Forest grid scored by anomaly-class F1 with stratified folds."""
-    data = stratified_folds(df, k, seed, label).withColumn(label, F.col(label).cast("double"))
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(labelCol=label, seed=seed)
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, list(num_trees))
-            .addGrid(rf.maxDepth, [_depth(d) for d in max_depth])
-            .addGrid(rf.minInstancesPerNode, list(min_instances)).build())
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=grid, evaluator=ev,
-                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
-    m = cv.fit(data)
-    rows = []
-    for pm, mean, std in zip(grid, m.avgMetrics, m.stdMetrics):
-        rows.append({p.name: v for p, v in pm.items()} | {"mean_f1": float(mean), "std_f1": float(std)})
-    return m.bestModel, rows
-
-
 def split_sensitivity(df: DataFrame, features, label: str = LABEL, fractions=(0.2, 0.3, 0.4),
                       seed: int = 42, **kw) -> DataFrame:
     """Refit at several test fractions; precision 1.0 flags overfitting."""

@@ -10,7 +10,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..models import iforest, novelty, sequence, supervised as SV
+from ..models import grids, iforest, novelty, sequence, supervised as SV
 from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import packs
@@ -67,11 +67,10 @@ def q_cross_validate(spark, sf_dir):
 
 @query("grid_search")
 def q_grid_search(spark, sf_dir):
-    """Forest grid (trees x depth) with stratified 3-fold F1 (the function
-    takes the full trees x depth x leaf grid)."""
+    """The forest grid of 48 points (trees x depth x split x leaf x class
+    weight) with stratified 5-fold F1; fits on at most 2,000 labelled rows."""
     f, feats = _robust(spark, sf_dir)
-    _, rows = SV.grid_search(f, feats, k=3, num_trees=(50, 100), max_depth=(10, 20), min_instances=(1,))
-    return spark.createDataFrame(rows)
+    return grids.forest_grid(f, feats)
 
 
 @query("feature_importance_top")
@@ -160,11 +159,11 @@ def q_isolation_forest(spark, sf_dir):
 
 @query("isolation_forest_search")
 def q_isolation_forest_search(spark, sf_dir):
-    """M2: grid of trees x samples x contamination on the enhanced features (K2),
-    F1 against the labels."""
+    """M2: the grid of 81 points (trees x samples x contamination x features) on
+    the enhanced features (K2), F1 against the labels; trees grow on samples of
+    at most 2,048 rows."""
     d, feats = _pack(load_metrics(spark, sf_dir), packs.features_enhanced)
-    return iforest.search(d, feats, LABEL, {"n_estimators": [50, 100], "max_samples": [128, 256],
-                                             "contamination": [0.01, 0.06]})
+    return iforest.search(d, feats, LABEL)
 
 
 # ------------------------------------------------------------------ M3 (with oracle)
