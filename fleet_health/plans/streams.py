@@ -17,6 +17,7 @@ from ..schema import CPU, DISK, HOST, LABEL, MEM, METRIC_COLUMNS, SAMPLE, TS, LA
 from ..session import checkpoint_path, materialize
 from ..sources import wire
 from ..sources.metrics import load_metrics, load_scored, table
+from ..streaming import event_time as ET
 from ..streaming import stateful as ST
 from .alerting import _cooldown_sql
 from .features import _k4_cols, _pack_sql
@@ -202,3 +203,94 @@ def q_windowed_metrics(spark, sf_dir):
                  "windows")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
               .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+# ------------------------------------------------------------------ N6, T11, T12 by event time
+@query("forecast_error_live", sql=rounded(m("""
+SELECT avg(abs(least(100.0::DOUBLE, f.cpu_percent + 7.5::DOUBLE) - a.cpu_percent)) AS cpu_mae,
+  sqrt(avg(power(least(100.0::DOUBLE, f.cpu_percent + 7.5::DOUBLE) - a.cpu_percent, 2))) AS cpu_rmse, count(*) AS cpu_n,
+  avg(abs(least(100.0::DOUBLE, f.memory_percent + 5.0::DOUBLE) - a.memory_percent)) AS memory_mae,
+  sqrt(avg(power(least(100.0::DOUBLE, f.memory_percent + 5.0::DOUBLE) - a.memory_percent, 2))) AS memory_rmse, count(*) AS memory_n,
+  avg(abs(least(100.0::DOUBLE, f.disk_usage_percent + 2.5::DOUBLE) - a.disk_usage_percent)) AS disk_mae,
+  sqrt(avg(power(least(100.0::DOUBLE, f.disk_usage_percent + 2.5::DOUBLE) - a.disk_usage_percent, 2))) AS disk_rmse, count(*) AS disk_n
+FROM metrics f JOIN metrics a ON a.host_id = f.host_id AND a."timestamp" >= f."timestamp" + INTERVAL 6 HOUR
+  AND a."timestamp" < f."timestamp" + INTERVAL 18 HOUR"""), [f"{r}_{k}" for r in ("cpu", "memory", "disk") for k in ("mae", "rmse")]))
+def q_forecast_error_live(spark, sf_dir):
+    """N6 + E7 live: stream-stream interval join of each sample's 6 h forecast
+    with its host's samples of the 12 hours after it falls due; errors of all
+    pairs."""
+    from ..operators import evaluate as EV
+    mt = ST.to_event_time(load_metrics(spark, sf_dir).drop(LABEL))
+    src = _files(spark, mt, "forecasts")
+    stream = lambda: ST.file_stream(spark, src, mt.schema)
+    joined = ET.forecast_actual_join(ET.forecast_stream(stream()), stream(), "12 hours")
+    out = _drain(spark, joined, "forecasts")
+    return EV.forecast_error(out, {n: (f"{n}_forecast", f"{n}_actual") for n in ET.FORECASTS})
+
+
+@query("periodic_refresh_stream", sql=rounded(m("""
+SELECT host_id, time_bucket(INTERVAL 15 MINUTE, "timestamp") AS refresh_at, * EXCLUDE (host_id, r, is_anomaly)
+FROM (SELECT *, row_number() OVER (PARTITION BY host_id, time_bucket(INTERVAL 15 MINUTE, "timestamp")
+      ORDER BY "timestamp" DESC, sample_id DESC) AS r FROM metrics) t WHERE r = 1
+  AND time_bucket(INTERVAL 15 MINUTE, "timestamp") + INTERVAL 15 MINUTE
+      < date_trunc('millisecond', (SELECT max("timestamp") FROM metrics)) - INTERVAL 1 HOUR"""), _MD))
+def q_periodic_refresh_stream(spark, sf_dir):
+    """T11 as a stream: event-time timers per host emit the latest sample of
+    each 15-minute window once the watermark (1 hour) has passed it."""
+    mt = ST.to_event_time(load_metrics(spark, sf_dir).drop(LABEL))
+    src = _files(spark, mt, "refresh")
+    out = _drain(spark, ET.refresh_stream(ST.file_stream(spark, src, mt.schema)), "refresh")
+    return out.withColumn(TS, F.col(TS).cast("timestamp_ntz")).withColumn("refresh_at", F.col("refresh_at").cast("timestamp_ntz"))
+
+
+# arrival: time-ordered files, every 20th sample three files late
+_ARRIVED = """
+span AS (SELECT epoch_us(min("timestamp")) AS lo, (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) // 6 AS w FROM metrics),
+arrived AS (SELECT m.*, epoch_us("timestamp") AS t,
+  least(5, least(5, (epoch_us("timestamp") - lo) // w) + CASE WHEN sample_id % 20 = 3 THEN 3 ELSE 0 END) AS file FROM metrics m, span),
+marks AS (SELECT f.file, max(a.t) - 21600000000 AS mark FROM (SELECT DISTINCT file FROM arrived) f LEFT JOIN arrived a ON a.file < f.file - 1 GROUP BY f.file)"""
+_SLIDING = f"""
+SELECT host_id, make_timestamp(s) AS window_start, make_timestamp(s + 86400000000) AS window_end, avg(cpu_percent) AS avg_cpu,
+  max(cpu_percent) AS max_cpu, avg(memory_percent) AS avg_memory, count(*) AS samples
+FROM (SELECT a.*, mark, unnest([t - t % 21600000000 - k * 21600000000 FOR k IN range(4)]) AS s FROM arrived a JOIN marks USING (file)) x
+WHERE (mark IS NULL OR s + 86400000000 > mark) AND s + 86400000000 <= (SELECT max(t) - 21600000000 FROM arrived)
+GROUP BY host_id, s"""
+_LATE = """
+SELECT count(*) AS late_rows, count(DISTINCT host_id) AS hosts FROM arrived JOIN marks USING (file)
+WHERE t - t % 21600000000 + 86400000000 <= mark"""
+
+
+def _late_files(spark, mt, name):
+    """The table in six files by time, every 20th sample three files late."""
+    src = _scratch(spark, f"{name}_src")
+    t = F.unix_micros(F.col(TS))
+    lo, w = mt.agg(F.min(t), F.expr(f"(max(unix_micros({TS})) - min(unix_micros({TS}))) div 6")).first()
+    file = F.least(F.lit(5), F.expr(f"(unix_micros({TS}) - {lo}) div {w}")) + F.when(F.col(SAMPLE) % 20 == 3, 3).otherwise(0)
+    d = mt.withColumn("_file", F.least(F.lit(5), file))
+    for i in range(6):
+        d.filter(F.col("_file") == i).drop("_file").coalesce(1).write.mode("overwrite").parquet(os.path.join(src, f"part{i:02d}"))
+    return src
+
+
+def _pane_store(spark, sf_dir):
+    mt = ST.to_event_time(load_metrics(spark, sf_dir).drop(LABEL))
+    src = _late_files(spark, mt, "panes")
+    store = ET.PaneStore(spark, _scratch(spark, "panes_store"), "24 hours", "6 hours", "6 hours")
+    store.run(ST.file_stream(spark, src, mt.schema), _scratch(spark, "panes_ckpt"))
+    return store
+
+
+@query("sliding_metrics", sql=rounded(m(_SLIDING, _ARRIVED), ["avg_cpu", "max_cpu", "avg_memory"]))
+def q_sliding_metrics(spark, sf_dir):
+    """T12 sliding: 1-day windows every 6 hours from 6-hour panes, watermark of
+    6 hours, over files in which every 20th sample comes three files late; rows
+    behind a window's watermark do not change it."""
+    out = _pane_store(spark, sf_dir).windows()
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
+              .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+@query("sliding_late_rows", sql=m(_LATE, _ARRIVED))
+def q_sliding_late_rows(spark, sf_dir):
+    """The rows that came after all their windows had closed (side table)."""
+    return _pane_store(spark, sf_dir).late().agg(F.count(F.lit(1)).alias("late_rows"), F.count_distinct(HOST).alias("hosts"))

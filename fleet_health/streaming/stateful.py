@@ -254,9 +254,3 @@ def periodic_refresh_batch(df: DataFrame, every: str = "15 minutes") -> DataFram
     last = F.max_by(F.struct(*[F.col(c) for c in df.columns if c != HOST]), F.struct(F.col(TS), F.col(SAMPLE)))
     return (df.groupBy(HOST, w.start.cast("timestamp_ntz").alias("refresh_at")).agg(last.alias("_s"))
               .select(HOST, "refresh_at", "_s.*"))
-
-
-def periodic_refresh_stream(stream: DataFrame, sink: str, checkpoint: str, every: str = "15 minutes"):
-    """Recompute every ``every`` of processing time (long running)."""
-    return (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=every).start())
