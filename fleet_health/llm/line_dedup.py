@@ -20,7 +20,7 @@ lower-cased; its hash is the 128-bit MD5 of the key.  Only keys of at least
 
 Defined results: null and empty texts are one empty line.  Rows with the same
 id are parts of one document: a key found only among them stays.  A null id is
-one document that sorts last.  Repeated rows are judged alike.  An empty table
+one document that sorts last.  Ids are compared as their type is.  Repeated rows are judged alike.  An empty table
 gives an empty result.  Columns other than id and text are only passed through.
 """
 
@@ -31,12 +31,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import SPACE_CHARS, Masked, stored, text_of, work_dir
 
 MIN_CHARS = 10
 BATCHES = 4
 FAN_OUT = 2
+CUT_IDS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -89,11 +91,21 @@ class _Runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
+def _cuts(lines: DataFrame, batches: int) -> list:
+    """Ids between the batches: quantiles, of ids without arithmetic those of
+    about ``CUT_IDS`` ids chosen by hash and ordered as their type is."""
+    if isinstance(lines.schema["doc_id"].dataType, NumericType):
+        return lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    some = lines.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CUT_IDS)
+    ids = [r.doc_id for r in some.orderBy("doc_id").collect()]
+    return [ids[len(ids) * i // batches] for i in range(1, batches)] if ids else []
+
+
 def owners(lines: DataFrame, batches: int = BATCHES, fan_out: int = FAN_OUT) -> DataFrame:
     """``lines`` (``doc_id``, ``hash``) to (``hash``, ``owner``, ``is_null``):
     the smallest id that holds it, null last."""
     spark = lines.sparkSession
-    cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    cuts = _cuts(lines, batches)
     batch = F.lit(0)
     for c in sorted(set(cuts)):
         batch = batch + F.when(F.col("doc_id") > F.lit(c), F.lit(1)).otherwise(F.lit(0))
