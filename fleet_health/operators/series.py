@@ -157,8 +157,14 @@ def apply(df: DataFrame, build, lookback: int = 0, lookahead: int = 0,
           chunk_rows: int | None = None, keep_position: bool = False,
           keys=(HOST,), order=SERIES_ORDER) -> DataFrame:
     """Run ``build(prepared_df) -> DataFrame`` over the chunked series and
-    remove the halo afterwards.  ``build`` uses ``series_window`` / ``rows``."""
+    remove the halo afterwards.  ``build`` uses ``series_window`` / ``rows``.
+
+    The rows are dealt to their chunks by the number of shuffle partitions: it
+    is the exchange the windows need in any case, but adaptive execution, which
+    goes by bytes alone, would run a small table's many frames in one task."""
     prepared = prepare(df, lookback, lookahead, chunk_rows, keys, order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prepared = prepared.repartition(parts, *keys, CHUNK)
     return drop_halo(build(prepared), keep_position)
 
 
