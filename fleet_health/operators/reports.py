@@ -247,11 +247,16 @@ def chart_series(metrics: DataFrame, time_range: str = "1h") -> DataFrame:
     window and the latest bucket before it (carried forward), both found
     with partial aggregates; the per-host window then sees n + 1 rows."""
     n, period = CHART_RANGES[time_range]
-    from ..operators.rolling import _period_micros
-    pm = _period_micros(period)
     b = F.window(TS, period).start.cast("timestamp_ntz")
     means = metrics.groupBy(HOST, b.alias("bucket")).agg(
         F.avg(CPU).alias(CPU), F.avg(MEM).alias(MEM), F.avg(DISK).alias(DISK))
+    return chart_of_buckets(means, n, period)
+
+
+def chart_of_buckets(means: DataFrame, n: int, period: str) -> DataFrame:
+    """R23 from the means of each host's buckets of ``period``."""
+    from ..operators.rolling import _period_micros
+    pm = _period_micros(period)
     last = means.groupBy(HOST).agg(F.max("bucket").alias("_last"))
     start = F.col("_last") - F.expr(f"INTERVAL {(n - 1) * pm // 1_000_000} SECONDS")
     m2 = means.join(last, HOST).withColumn("_start", start)

@@ -3,12 +3,16 @@ health and summaries (R20, R22), as-of snapshot (N5)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import risk as K
 from ..operators import alerts as A
 from ..operators import reports as RP
+from ..operators.alert_store import AlertStore
 from ..schema import CPU, DISK, HOST, MEM, MEM_USED, SAMPLE, TS
+from ..session import checkpoint_path, materialize
 from ..sources.metrics import load_metrics, load_scored
 from . import sqlwin as Q
 from .registry import query, rounded
@@ -347,3 +351,15 @@ def q_alert_log(spark, sf_dir):
 def q_alert_route(spark, sf_dir):
     """Email outbox rows for the emitted alerts."""
     return A.alert_route(_emitted_with_text(spark, sf_dir).select(HOST, SAMPLE, TS, "level", "message"), "email")
+
+
+# ------------------------------------------------------------------ R25, R26 as a store
+@query("alert_store_upserts", sql=rounded(with_ctes("SELECT * FROM resolved", *RESOLVED_CTES), _ALERT_DOUBLES))
+def q_alert_store_upserts(spark, sf_dir):
+    """R25 + R26 in place: alerts in one batch, their resolutions in a second,
+    which rewrites the buckets it touches; equals ``resolve_alerts``."""
+    al = materialize(alerts_fixture(spark, sf_dir))
+    store = AlertStore(spark, checkpoint_path(spark, f"alerts/{uuid.uuid4().hex[:12]}"), al.schema, 16)
+    store.upsert(al, 0)
+    store.upsert(resolutions_fixture(al, load_metrics(spark, sf_dir)), 1)
+    return _flat(store.alerts())

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import risk as K
 from ..operators import alerts as A
 from ..operators import reports as RP
+from ..operators.rollups import RollupStore
 from ..schema import CPU, DISK, HOST, MEM, SAMPLE, TS
+from ..session import checkpoint_path
 from ..sources import tables
 from ..sources.metrics import load_metrics, load_scored, table
 from .registry import query, rounded
@@ -307,7 +311,12 @@ def q_usage_status(spark, sf_dir):
                      h.alias("health_score"), K.health_status(h).alias("health_status"))
 
 
-@query("chart_series", sql=rounded(m("""
+def _chart_sql(n: int, minutes: int) -> str:
+    """SQL of a chart of ``n`` buckets of ``minutes``."""
+    return CHART_SQL.replace("INTERVAL 55 MINUTE", f"INTERVAL {(n - 1) * minutes} MINUTE").replace("INTERVAL 5 MINUTE", f"INTERVAL {minutes} MINUTE")
+
+
+CHART_SQL = rounded(m("""
 SELECT host_id, bucket,
   cpu_percent AS cpu_current, avg(cpu_percent) OVER h AS cpu_avg, max(cpu_percent) OVER h AS cpu_max,
   min(cpu_percent) OVER h AS cpu_min, abs(cpu_percent - lag(cpu_percent) OVER w) AS cpu_delta,
@@ -344,7 +353,45 @@ WINDOW w AS (PARTITION BY host_id ORDER BY bucket), h AS (PARTITION BY host_id)
 QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY bucket DESC) = 1""",
     """buckets AS (SELECT host_id, time_bucket(INTERVAL 5 MINUTE, "timestamp") AS bucket, avg(cpu_percent) AS cpu_percent,
        avg(memory_percent) AS memory_percent, avg(disk_usage_percent) AS disk_usage_percent FROM metrics GROUP BY ALL)"""),
-    [f"{s}_{k}" for s in ("cpu", "memory", "disk") for k in ("current", "avg", "max", "min", "delta")]))
+    [f"{s}_{k}" for s in ("cpu", "memory", "disk") for k in ("current", "avg", "max", "min", "delta")])
+
+
+@query("chart_series", sql=CHART_SQL)
 def q_chart_series(spark, sf_dir):
     """R23 for the 1 h range (12 x 5-minute buckets): latest point per host."""
     return RP.chart_series(load_metrics(spark, sf_dir), "1h")
+
+
+def _rollups(spark, sf_dir):
+    """The tree of roll-ups, filled in three batches by time."""
+    mt = load_metrics(spark, sf_dir)
+    store = RollupStore(spark, checkpoint_path(spark, f"rollups/{uuid.uuid4().hex[:12]}"))
+    lo, hi = mt.agg(F.percentile_approx(F.unix_micros(F.col(TS).cast("timestamp")), [0.4, 0.8])).first()[0]
+    t = F.unix_micros(F.col(TS).cast("timestamp"))
+    for i, part in enumerate((t < lo, (t >= lo) & (t < hi), t >= hi)):
+        store.add(mt.filter(part), i)
+    return store
+
+
+def _register_charts():
+    for name, (n, period) in RP.CHART_RANGES.items():
+        def run(spark, sf_dir, n=n, period=period):
+            return RP.chart_of_buckets(_rollups(spark, sf_dir).buckets(period), n, period)
+        run.__name__ = f"q_chart_rollup_{name}"
+        run.__doc__ = f"R23 for the {name} range ({n} x {period}) from the roll-up tree."
+        query(f"chart_rollup_{name}", sql=_chart_sql(n, int(period.split()[0])))(run)
+
+
+_register_charts()
+
+
+@query("rollup_summary", sql=rounded(m("""
+SELECT host_id, count(*) AS samples, avg(cpu_percent) AS avg_cpu_percent, avg(memory_percent) AS avg_memory_percent,
+  avg(disk_usage_percent) AS avg_disk_usage_percent, max(cpu_percent) AS max_cpu_percent, max(memory_percent) AS max_memory_percent,
+  max(disk_usage_percent) AS max_disk_usage_percent, arg_max(cpu_percent, ("timestamp", sample_id)) AS last_cpu_percent,
+  arg_max(memory_percent, ("timestamp", sample_id)) AS last_memory_percent,
+  arg_max(disk_usage_percent, ("timestamp", sample_id)) AS last_disk_usage_percent
+FROM metrics GROUP BY host_id"""), [f"{a}_{c}" for a in ("avg", "max", "last") for c in ("cpu_percent", "memory_percent", "disk_usage_percent")]))
+def q_rollup_summary(spark, sf_dir):
+    """A host's totals and latest values from the hourly level alone."""
+    return _rollups(spark, sf_dir).summary()
