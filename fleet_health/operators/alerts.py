@@ -46,6 +46,9 @@ TEXT_TAG_RECOMMENDATIONS = (
     ("Disk", ("Clean up temporary files and logs", "Archive old data to cold storage",
               "Monitor disk I/O performance", "Consider storage expansion")))
 TEXT_TAG_DEFAULT_RECOMMENDATION = "Continue monitoring system performance"
+MESSAGE_TEXTS = {"title": " - SYSTEM ANOMALY DETECTED", "pattern": "Temporal Analysis: ", "confidence": "Confidence: ",
+                 "consecutive": "Consecutive anomalies: ", "time": "Detection time: ", "cpu": "CPU Usage: ", "memory": "Memory Usage: ",
+                 "disk": "Disk Usage: ", "memory_used": "Memory Used: ", "actions": "Recommended Actions: "}
 ALERT_CHANNELS = ("console", "email", "slack")
 EMAIL_SUBJECT = "System Anomaly Detected"
 # ------------------------------------------------------------------------
@@ -178,18 +181,18 @@ def alert_cooldown(df: DataFrame, p: str = "anomaly_probability", cooldown: str
 # ------------------------------------------------------------------ T7-T9
 def alert_message(alerts: DataFrame, p: str = "anomaly_probability") -> DataFrame:
     """Alert text: level, pattern, confidence, count, time and current state."""
+    t = {k: F.lit(v) for k, v in MESSAGE_TEXTS.items()}
     lines = [
-        F.concat(F.col("level"), F.lit(" - SYSTEM ANOMALY DETECTED")),
-        F.concat(F.lit("Temporal Analysis: "), F.coalesce(F.col("temporal_pattern"),
-                                                          F.lit(PATTERN_TEXTS["unknown"]))),
-        F.concat(F.lit("Confidence: "), pct_text(F.col(p))),
-        F.concat(F.lit("Consecutive anomalies: "), F.col("consecutive").cast("string")),
-        F.concat(F.lit("Detection time: "), F.date_format(TS, "yyyy-MM-dd HH:mm:ss")),
-        F.concat(F.lit("CPU Usage: "), num_text(F.col(CPU)), F.lit("%")),
-        F.concat(F.lit("Memory Usage: "), num_text(F.col(MEM)), F.lit("%")),
-        F.concat(F.lit("Disk Usage: "), num_text(F.col(DISK)), F.lit("%")),
-        F.concat(F.lit("Memory Used: "), num_text(F.col(MEM_USED)), F.lit(" GB")),
-        F.concat(F.lit("Recommended Actions: "), F.lit("; ".join(RECOMMENDED_ACTIONS))),
+        F.concat(F.col("level"), t["title"]),
+        F.concat(t["pattern"], F.coalesce(F.col("temporal_pattern"), F.lit(PATTERN_TEXTS["unknown"]))),
+        F.concat(t["confidence"], pct_text(F.col(p))),
+        F.concat(t["consecutive"], F.col("consecutive").cast("string")),
+        F.concat(t["time"], F.date_format(TS, "yyyy-MM-dd HH:mm:ss")),
+        F.concat(t["cpu"], num_text(F.col(CPU)), F.lit("%")),
+        F.concat(t["memory"], num_text(F.col(MEM)), F.lit("%")),
+        F.concat(t["disk"], num_text(F.col(DISK)), F.lit("%")),
+        F.concat(t["memory_used"], num_text(F.col(MEM_USED)), F.lit(" GB")),
+        F.concat(t["actions"], F.lit("; ".join(RECOMMENDED_ACTIONS))),
     ]
     return alerts.withColumn("message", F.concat_ws("\n", *lines))
 

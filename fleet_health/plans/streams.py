@@ -165,16 +165,19 @@ def q_stream_alert_cooldown(spark, sf_dir):
 # ------------------------------------------------------------------ T3
 @query("stream_score")
 def q_stream_score(spark, sf_dir):
-    """Micro-batch scoring (foreachBatch) with a forest fitted on the
-    training 70 % of the table."""
+    """A forest fitted on the temporal features (K4) of the earlier 70 % of
+    the table scores the later samples as they stream in: keyed buffers make
+    their features (T2), each micro-batch is scored (foreachBatch)."""
     mt = load_metrics(spark, sf_dir)
-    feats = [CPU, MEM, DISK]
-    train = materialize(L.stratified_split(mt, 0.3, 42)).filter(~F.col("is_test")).drop("is_test")
-    model = SV.weighted_forest(train, feats, num_trees=100, max_depth=10)
-    src = _files(spark, mt, "score")
+    split = materialize(L.time_ordered_split(packs.features_temporal(mt), 0.3))
+    train, later = split.filter(~F.col("is_test")), split.filter(F.col("is_test")).select(SAMPLE)
+    model = SV.weighted_forest(train, ST.TEMPORAL_COLUMNS, num_trees=100, max_depth=10)
+    live = ST.to_event_time(mt.join(later, SAMPLE, "left_semi").select(*[c for c in mt.columns if c != LABEL]))
+    src = _files(spark, live, "score")
     sink, ck = _scratch(spark, "score_sink"), _scratch(spark, "score_ckpt")
-    ST.stream_score(ST.file_stream(spark, src, mt.schema), model, sink, ck)
-    return spark.read.parquet(sink).select(HOST, SAMPLE, TS, LABEL, "anomaly_probability", "prediction", "epoch")
+    ST.stream_score(ST.stream_buffer_features(ST.file_stream(spark, src, live.schema)), model, sink, ck)
+    out = spark.read.parquet(sink).withColumn(TS, F.col(TS).cast("timestamp_ntz"))
+    return out.join(mt.select(SAMPLE, LABEL), SAMPLE).select(HOST, SAMPLE, TS, LABEL, "anomaly_probability", "prediction", "epoch")
 
 
 # ------------------------------------------------------------------ T11, T12

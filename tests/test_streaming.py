@@ -29,3 +29,15 @@ def test_stream_buffer_equals_pack_rows_from_ten(spark):
 def test_stream_ingest_keeps_every_row(spark):
     q = E.queries()
     assert q["stream_ingest"](spark, SF).count() == q["select_features"](spark, SF).count()
+
+
+def test_stream_score_leaves_its_training_rows_alone(spark):
+    """Only each host's later 30 % are scored, each once, from their tenth sample on."""
+    from fleet_health.operators import labels as L
+    from fleet_health.sources.metrics import load_metrics
+    out = E.queries()["stream_score"](spark, SF).cache()
+    split = L.time_ordered_split(load_metrics(spark, SF), 0.3)
+    later = {r.sample_id for r in split.filter("is_test").select("sample_id").collect()}
+    got = [r.sample_id for r in out.select("sample_id").collect()]
+    per = split.filter("is_test").groupBy("host_id").count().collect()
+    assert set(got) <= later and len(set(got)) == len(got) == sum(max(0, r["count"] - 9) for r in per)
