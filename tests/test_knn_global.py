@@ -4,6 +4,7 @@ import inspect
 
 import numpy as np
 import __spark_entry__ as E
+from fleet_health.operators import knn as N
 from fleet_health.plans import models, neighbors
 
 N_ROWS, FEATS = 90, ["f_cpu", "f_memory", "f_disk"]
@@ -42,3 +43,11 @@ def test_lof_over_all_rows(spark, monkeypatch):
 
 def test_leaderboard_lof_is_not_blocked():
     assert "keys=[HOST]" not in inspect.getsource(models.q_detector_leaderboard)
+
+
+def test_neighbour_cleaning_gathers_no_side_in_the_driver(spark):
+    """All sides of its joins have a row per input row, so none may be broadcast however small its files are."""
+    df = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 5)) for i in range(60)],
+                               "sample_id bigint, is_anomaly int, a double, b double")
+    out = N.edited_nearest_neighbours(df, ["a", "b"], 3)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
