@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..schema import CPU, DISK, HOST, MEM, METRIC_COLUMNS, SAMPLE, TS
+from .stateful import _gathered, by_hosts
 
 
 def _micros(interval: str) -> int:
@@ -66,38 +67,33 @@ _REFRESH_COLUMNS = [SAMPLE, TS, *METRIC_COLUMNS]
 REFRESH_SCHEMA = T.StructType([T.StructField(HOST, T.LongType()), T.StructField("refresh_at", T.TimestampType()),
                                T.StructField(SAMPLE, T.LongType()), T.StructField(TS, T.TimestampType())]
                               + [T.StructField(c, T.DoubleType()) for c in METRIC_COLUMNS])
-REFRESH_STATE = T.StructType([T.StructField("start", T.ArrayType(T.LongType())), T.StructField("ts", T.ArrayType(T.LongType())),
-                              T.StructField("ids", T.ArrayType(T.LongType()))]
+REFRESH_STATE = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("host", "ts", "ids")]
                              + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in METRIC_COLUMNS])
 
 
 def _refresh_fn(every_us: int):
     def fn(key, pdfs, state):
-        mark = state.getCurrentWatermarkMs() * 1000
-        held = {s: row for s, *row in zip(*state.get)} if state.exists else {}
-        if not state.hasTimedOut:
-            for p in pdfs:
-                ts = p[TS].astype("datetime64[us]").astype("int64").to_numpy()
-                order = np.lexsort((p[SAMPLE].to_numpy(), ts))
-                last = pd.Series(order, index=ts[order] // every_us * every_us).groupby(level=0).last()
-                for start, i in last.items():
-                    row = [int(ts[i]), int(p[SAMPLE].iloc[i]), *[float(p[c].iloc[i]) for c in METRIC_COLUMNS]]
-                    if start not in held or row[:2] > held[start][:2]:
-                        held[start] = row
-        done = sorted(s for s in held if s + every_us < mark)
-        rows = [(int(key[0]), s, held.pop(s)) for s in done]
-        if held:
-            open_ = sorted(held)
-            state.update(tuple([open_] + [[held[s][i] for s in open_] for i in range(2 + len(METRIC_COLUMNS))]))
+        mark, held = state.getCurrentWatermarkMs() * 1000, None
+        if state.exists:
+            st = state.get
+            held = {c: np.array(v, "int64") for c, v in zip((HOST, "_ts", SAMPLE), st)} | {"_held": np.ones(len(st[0]), bool)}
+            held.update({c: np.array(st[3 + i], "float64") for i, c in enumerate(METRIC_COLUMNS)})
+        rows = _gathered(() if state.hasTimedOut else pdfs, METRIC_COLUMNS, held, held_last=True)
+        # the last row of each host and window, by (time, sample)
+        hosts, start = rows[HOST], rows["_ts"] // every_us * every_us
+        last = np.r_[(hosts[1:] != hosts[:-1]) | (start[1:] != start[:-1]), True] if len(hosts) else np.zeros(0, bool)
+        done = last & (start + every_us < mark)
+        open_ = last & ~done
+        if open_.any():
+            state.update(tuple(rows[c][open_].tolist() for c in (HOST, "_ts", SAMPLE, *METRIC_COLUMNS)))
             # fires once the watermark has passed the end of the oldest open window
-            state.setTimeoutTimestamp(max((open_[0] + every_us) // 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((int(start[open_].min()) + every_us) // 1000, state.getCurrentWatermarkMs() + 1))
         else:
             state.remove()
-        if rows:
-            out = {HOST: [r[0] for r in rows], "refresh_at": pd.to_datetime([r[1] for r in rows], unit="us"),
-                   SAMPLE: [r[2][1] for r in rows], TS: pd.to_datetime([r[2][0] for r in rows], unit="us")}
-            out.update({c: [r[2][2 + i] for r in rows] for i, c in enumerate(METRIC_COLUMNS)})
-            yield pd.DataFrame(out)
+        if done.any():
+            out = {HOST: hosts[done].astype("int64"), "refresh_at": start[done].astype("datetime64[us]"), SAMPLE: rows[SAMPLE][done],
+                   TS: rows["_ts"][done].astype("datetime64[us]")}
+            yield pd.DataFrame(out | {c: rows[c][done] for c in METRIC_COLUMNS})
     return fn
 
 
@@ -106,7 +102,7 @@ def refresh_stream(stream: DataFrame, every: str = "15 minutes", delay: str = "1
     event-time timer when the watermark has passed the window.  The timer also
     fires for hosts that have fallen silent.  State: a row per open window."""
     rows = stream.withWatermark(TS, delay).select(HOST, *_REFRESH_COLUMNS)
-    return rows.groupBy(HOST).applyInPandasWithState(_refresh_fn(_micros(every)), REFRESH_SCHEMA, REFRESH_STATE, "append",
+    return by_hosts(rows).applyInPandasWithState(_refresh_fn(_micros(every)), REFRESH_SCHEMA, REFRESH_STATE, "append",
                                                      GroupStateTimeout.EventTimeTimeout)
 
 
