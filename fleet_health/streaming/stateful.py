@@ -148,6 +148,8 @@ def _gathered(pdfs: Iterator[pd.DataFrame], columns, held: dict | None = None, h
     their host's new ones or, with ``held_last``, behind new ones of equal (time, sample)."""
     parts = [held] if held else []
     for p in pdfs:
+        if p[HOST].isna().any():
+            raise ValueError("a host state needs the host of every sample")
         part = {HOST: p[HOST].to_numpy(), "_ts": p[TS].astype("datetime64[us]").astype("int64").to_numpy(), SAMPLE: p[SAMPLE].to_numpy()}
         part.update({c: p[c].to_numpy(dtype="float64", na_value=np.nan) for c in columns})
         parts.append(part | {"_held": np.zeros(len(p), bool)})

@@ -76,3 +76,10 @@ def test_a_host_silent_in_a_shared_bucket_loses_its_state():
     state.now = 170
     list(fn((0,), iter([]), state))
     assert not state.exists
+
+
+def test_a_sample_without_host_is_refused():
+    import pandas as pd
+    row = pd.DataFrame({HOST: [1.0, None], SAMPLE: [1, 2], TS: pd.Timestamp("2024-01-01"), "anomaly_probability": 0.6})
+    with pytest.raises(ValueError, match="host"):
+        ST._gathered(iter([row]), ["anomaly_probability"])
