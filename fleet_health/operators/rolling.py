@@ -92,8 +92,13 @@ def with_host_stats(prepared: DataFrame, cols: Sequence[str],
     The statistics are a partial (map-side combined) aggregate per host;
     they are attached on (host, chunk), the key the frame is already
     partitioned on, so only the small side moves and no join partition
-    holds more than one chunk.
+    holds more than one chunk.  Where every host is one chunk, they are
+    aggregates over the whole chunk in the same window stage as the frames.
     """
+    if series.is_whole(prepared):
+        chunk = series.rows(Window.unboundedPreceding, Window.unboundedFollowing)
+        return prepared.select("*", *[f(c).over(chunk).alias(f"{prefix}_{n}_{c}")
+                                      for n, f in (("mean", F.avg), ("std", F.stddev_samp)) for c in cols])
     base = prepared.filter(~F.col(HALO))
     stats = base.groupBy(HOST).agg(
         *[F.avg(c).alias(f"{prefix}_mean_{c}") for c in cols],

@@ -9,10 +9,12 @@ frame needs into the neighbouring chunk (a halo), so results are exactly
 those of the per-host window while every task stays bounded:
 
 1. ``with_position`` gives each row its exact 1-based position ``_rn`` in
-   its host.  Rows are counted per (host, time bucket) with a partial
-   aggregate; cumulative offsets are taken over that small count table,
-   and the position inside a bucket comes from a window partitioned by
-   (host, bucket).  No task ever sorts more than one bucket of one host.
+   its host.  Where no host has more rows than a chunk (one count), that is
+   a row number in one window over the host.  Otherwise rows are counted
+   per (host, time bucket) with a partial aggregate; cumulative offsets are
+   taken over that count table, and the position inside a bucket comes from
+   a window partitioned by (host, bucket).  No task ever sorts more than one
+   chunk or one bucket of one host.
 2. ``with_chunks`` assigns ``_chunk = (_rn - 1) div chunk_rows`` and adds
    halo copies (``_halo = true``) of the last ``lookback`` rows of a chunk
    to the next chunk and of the first ``lookahead`` rows to the previous
@@ -39,6 +41,7 @@ CHUNK = "_chunk"
 HALO = "_halo"
 _BUCKET = "_bucket"
 _OFFSET = "_offset"
+WHOLE = "whole"
 
 # Rows per chunk.  Bounded so one window task holds at most this many rows
 # of one host (plus halo) regardless of how skewed hosts are.
@@ -60,17 +63,32 @@ def host_window(partition=(HOST,), order=SERIES_ORDER):
     return Window.partitionBy(*partition).orderBy(*order)
 
 
+def fits(df: DataFrame, keys=(HOST,), chunk_rows: int | None = None) -> bool:
+    """True if no key has more rows than one chunk holds: one count per key."""
+    c = chunk_rows or _conf(df, "fleet_health.series.chunkRows", DEFAULT_CHUNK_ROWS)
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("most")).first()["most"]
+    return (most or 0) <= c
+
+
 def with_position(df: DataFrame, bucket: str | None = None, keys=(HOST,),
-                  order=SERIES_ORDER, bucket_expr: Column | None = None) -> DataFrame:
+                  order=SERIES_ORDER, bucket_expr: Column | None = None, whole: bool | None = None) -> DataFrame:
     """Add ``_rn``: exact 1-based position of each row inside its key
     (default: host) in ``order``.  Rows are counted per (key, bucket) where
     the bucket is ``date_trunc(bucket, order[0])`` or ``bucket_expr``; the
-    bucket must be monotone in ``order`` (later columns only break ties)."""
+    bucket must be monotone in ``order`` (later columns only break ties).
+    Keys that fit a chunk each (``whole``, counted when not given) need no
+    buckets.  Rows without a key or a first order value have no position."""
     if RN in df.columns:
         return df
     keys = list(keys)
     order = list(order)
     if bucket_expr is None:
+        if fits(df, keys) if whole is None else whole:
+            first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+            known = first.isNotNull()
+            for k in keys:
+                known = known & F.col(k).isNotNull()
+            return df.withColumn(RN, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(known)
         bucket = bucket or _conf(df, "fleet_health.series.bucket", DEFAULT_BUCKET)
         bucket_expr = F.date_trunc(bucket, F.col(order[0]) if isinstance(order[0], str) else order[0])
     b = df.withColumn(_BUCKET, bucket_expr)
@@ -143,7 +161,14 @@ def rows(lo: int, hi: int = 0, keys=(HOST,)):
 
 def prepare(df: DataFrame, lookback: int = 0, lookahead: int = 0,
             chunk_rows: int | None = None, keys=(HOST,), order=SERIES_ORDER) -> DataFrame:
-    return with_chunks(with_position(df, keys=keys, order=order), lookback, lookahead, chunk_rows)
+    whole = RN not in df.columns and fits(df, keys, chunk_rows)
+    out = with_chunks(with_position(df, keys=keys, order=order, whole=whole), lookback, lookahead, chunk_rows)
+    return out.withMetadata(CHUNK, {WHOLE: True}) if whole else out
+
+
+def is_whole(prepared: DataFrame) -> bool:
+    """True if every key of a prepared series stands in one chunk."""
+    return prepared.schema[CHUNK].metadata.get(WHOLE, False)
 
 
 def drop_halo(df: DataFrame, keep_position: bool = False) -> DataFrame:
