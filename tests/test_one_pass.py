@@ -61,3 +61,26 @@ def test_host_stats_of_whole_hosts(spark):
     got = {r[0]: (r[1], r[2]) for r in series.apply(m, build).select("host_id", "_hs_mean_cpu_percent", "_hs_std_cpu_percent").distinct().collect()}
     for r in m.groupBy("host_id").agg(F.avg("cpu_percent"), F.stddev_samp("cpu_percent")).collect():
         assert abs(got[r[0]][0] - r[1]) < 1e-9 and abs(got[r[0]][1] - r[2]) < 1e-9
+
+
+def test_node_cache_grows_the_same_forest(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    feats = ["cpu_percent", "memory_percent", "disk_usage_percent"]
+    m = _metrics(spark).coalesce(1).orderBy("sample_id").checkpoint()
+    got = SV.random_forest(m, feats, num_trees=5, max_depth=6).stages[-1]
+    assert got.getCacheNodeIds()
+    asm = VectorAssembler(inputCols=feats, outputCol="features").transform(m)
+    plain = RandomForestClassifier(labelCol="is_anomaly", numTrees=5, maxDepth=6, seed=42).fit(asm)
+    assert [t.toDebugString.split("\n", 1)[1] for t in got.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
+
+
+def test_even_deals_by_cores(spark, monkeypatch):
+    m = _metrics(spark, 4000).select("sample_id", "is_anomaly", "cpu_percent")
+    assert SV._even(m) is m  # a small table stays as it is
+    monkeypatch.setattr(SV, "SMALL_ROWS", 10)
+    monkeypatch.setattr(SV, "TASK_ROWS", 100)
+    cores = spark.sparkContext.defaultParallelism
+    even = SV._even(m)
+    assert even.select(F.spark_partition_id()).distinct().count() == cores * round(4000 / (cores * 100))
+    assert _values(even) == _values(m)
