@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import labels as L
 from ..schema import LABEL, SAMPLE
+from ..session import materialize
 
 MAX_TREE_DEPTH = 30  # Spark's limit; an unlimited depth maps to it
 TASK_ROWS = 1 << 18  # rows of a forest's task, about
@@ -77,7 +78,7 @@ def random_forest_on_smote(train: DataFrame, test: DataFrame, features, label: s
     """M6: SMOTE (L8) on the training rows, forest fit, scored on the
     untouched test rows.  Returns (model, scored test)."""
     from ..operators.knn import smote
-    bal = smote(train.select(SAMPLE, label, *features), features, ratio=ratio, k=k, label=label)
+    bal = materialize(smote(train.select(SAMPLE, label, *features), features, ratio=ratio, k=k, label=label))
     model = random_forest(bal, features, label, **kw)
     return model, score_batch(model, test)
 

@@ -63,6 +63,18 @@ def test_host_stats_of_whole_hosts(spark):
         assert abs(got[r[0]][0] - r[1]) < 1e-9 and abs(got[r[0]][1] - r[2]) < 1e-9
 
 
+def test_training_rows_are_made_once(spark, monkeypatch):
+    """The forest gets SMOTE rows, folds and splits as written tables, not as plans to be run for each of its passes."""
+    seen = []
+    monkeypatch.setattr(SV, "random_forest", lambda train, *a, **k: seen.append(_plan(train)))
+    monkeypatch.setattr(SV, "score_batch", lambda model, test, *a: test.withColumn("prediction", F.lit(0)))
+    feats = ["cpu_percent", "memory_percent"]
+    m = _metrics(spark)
+    SV.random_forest_on_smote(m, m, feats, ratio=0.3, k=2)
+    assert len(seen) == 1
+    assert not any("Window" in p or "Range (" in p or "Generate" in p for p in seen), seen
+
+
 def test_node_cache_grows_the_same_forest(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
