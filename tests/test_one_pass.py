@@ -71,7 +71,8 @@ def test_training_rows_are_made_once(spark, monkeypatch):
     feats = ["cpu_percent", "memory_percent"]
     m = _metrics(spark)
     SV.random_forest_on_smote(m, m, feats, ratio=0.3, k=2)
-    assert len(seen) == 1
+    SV.split_sensitivity(m, feats, fractions=(0.3,))
+    assert len(seen) == 2
     assert not any("Window" in p or "Range (" in p or "Generate" in p for p in seen), seen
 
 
