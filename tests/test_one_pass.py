@@ -76,6 +76,13 @@ def test_training_rows_are_made_once(spark, monkeypatch):
     assert not any("Window" in p or "Range (" in p or "Generate" in p for p in seen), seen
 
 
+def test_smoteenn_cleans_written_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(knn, "edited_nearest_neighbours", lambda df, *a, **k: seen.append(_plan(df)) or df)
+    knn.balance(_metrics(spark), ["cpu_percent", "memory_percent"], "smoteenn")
+    assert "Window" not in seen[0] and "Generate" not in seen[0]
+
+
 def test_node_cache_grows_the_same_forest(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
