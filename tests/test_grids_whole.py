@@ -44,3 +44,50 @@ def test_a_tree_grown_in_place_separates_and_stops():
     assert np.allclose(out[1:], share)  # a tree of depth 0, a node too small to split
     leaf = class_tree(x, y, times, held, (1.0, 1.0), 1500, [(30, 2)], 4, rng)
     assert np.allclose(leaf, share)
+
+
+def _far(spark, n=800):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(n - 20, 3)), rng.normal(size=(20, 3)) + 9])
+    return spark.createDataFrame([(i, int(i >= n - 20), *map(float, v)) for i, v in enumerate(x)],
+                                 "sample_id bigint, is_anomaly int, a double, b double, c double").repartition(3)
+
+
+def test_isolation_trees_take_their_share_of_the_whole_table(spark, monkeypatch):
+    """Rows beyond any fixed number are drawn: the sizes asked for are shares of all."""
+    asked = []
+    real = iforest._limit
+    monkeypatch.setattr(iforest, "_gathered_paths", lambda df, feats, label, e, kinds, psis, counts, seed: asked.extend([e, *psis]) or df.selectExpr(
+        "_id", label, f"array_repeat(1.0D, {len(kinds) * len(counts)}) AS sums"))
+    df = spark.range(5000).selectExpr("id AS sample_id", "CAST(id = 7 AS INT) AS is_anomaly", "id * 1.0D AS a")
+    assert iforest.search(df, ["a"], "is_anomaly").count() == 81
+    assert asked == [5000] + [256] * 3 + [2500] * 3 + [4000] * 3 and real(4000) == 12
+
+
+@pytest.mark.parametrize("gather, task_rows", [(1 << 27, 100), (0, 100)])
+def test_isolation_search_by_either_way(spark, monkeypatch, gather, task_rows):
+    monkeypatch.setattr(iforest, "FEW_ROWS", 300)
+    monkeypatch.setattr(iforest, "TOP_TREES", {True: 10, False: 10})
+    grid = {"n_estimators": (10, 20), "contamination": (0.025,), "max_samples": ("auto", 0.8), "max_features": (1.0,)}
+    rows = iforest.search(_far(spark), ["a", "b", "c"], "is_anomaly", grid, gather_bytes=gather, task_rows=task_rows).collect()
+    assert len(rows) == 4 and all(abs(r.precision - r.recall) < 1e-9 for r in rows)
+    assert all(r.recall > (0.85 if r.max_samples == "auto" else 0.6) for r in rows), rows
+
+
+def test_paths_of_a_tree_that_holds_all_rows():
+    from fleet_health.models.grown import c_factor, isolation_paths
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3))
+    x[:40] = x[0]  # rows that no cut parts
+    member = np.ones(500, bool)
+    h = isolation_paths(x, member, 1000, 3, rng)
+    assert len(set(h[:40])) == 1 and h[0] >= c_factor([40])[0]
+    # every other row stands alone, so by Kraft's sum the leaves fill the tree
+    assert abs((2.0 ** -h[40:]).sum() + 2.0 ** -(h[0] - c_factor([40])[0]) - 1) < 1e-9
+    h = isolation_paths(x, member, 9, 2, rng)
+    assert h.min() >= 1 and (h <= 9 + c_factor([500])[0]).all()
+    flat = np.zeros((50, 5))
+    assert np.allclose(isolation_paths(flat, np.ones(50, bool), 9, 5, rng), c_factor([50])[0])
+    flat[:25, 3] = 1.0
+    got = isolation_paths(flat, np.ones(50, bool), 9, 5, rng)
+    assert np.allclose(got, 1 + c_factor([25])[0])  # the one feature that varies is found
